@@ -31,8 +31,24 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_report(length_histogram(table(spark, sf_dir, "documents"), vocabulary()))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    from folioq.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words and items found in every document."""
+    from folioq.llm.decontaminate import hit_report
+
+    return hit_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
+    "op4_simhash": op4_simhash,
+    "op6_decontamination": op6_decontamination,
     "op9_token_counts": op9_token_counts,
 }
 
