@@ -45,11 +45,29 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from the labels outside the held-out fold."""
+    from folioq.llm.toxicity import THRESHOLD, fit
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = fit(docs, table(spark, sf_dir, "labels")).score(docs)
+    return scored.select("doc_id", (split_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts, perplexity and verdict of every document."""
+    from folioq.llm.kneser_ney import quality
+
+    return quality(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
+    "op3_quality_rules": op3_quality_rules,
     "op4_simhash": op4_simhash,
     "op6_decontamination": op6_decontamination,
     "op9_token_counts": op9_token_counts,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
