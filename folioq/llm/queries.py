@@ -61,8 +61,16 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under the mixing model, and the unigram base."""
+    from folioq.llm.mixing import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_quality_rules": op3_quality_rules,
     "op4_simhash": op4_simhash,
     "op6_decontamination": op6_decontamination,
