@@ -68,12 +68,48 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts and digests of the spans."""
+    from folioq.llm.secrets import find_secrets
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"] != "format")
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+#: Key of the surrogates in the registered queries; a real run passes its own.
+PII_KEY = "folioq"
+
+
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for its personal data."""
+    from folioq.llm.pii import with_surrogates
+
+    return with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, count_col="n_entities")
+
+
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence statements of every document by line."""
+    from folioq.llm.licences import licence_lines
+
+    return licence_lines(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_quality_rules": op3_quality_rules,
     "op4_simhash": op4_simhash,
+    "op5_secret_scans": op5_secret_scans,
     "op6_decontamination": op6_decontamination,
+    "op7_pii_surrogates": op7_pii_surrogates,
+    "op8_license_scans": op8_license_scans,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
 }
