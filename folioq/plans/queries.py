@@ -156,3 +156,51 @@ def parse_date_iso(spark: SparkSession, sf_dir: str) -> DataFrame:
 def to_float(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amounts written with a currency sign and read back."""
     return read(spark, sf_dir, "customer").select("c_custkey", V.to_float(F.concat(F.lit("₹ "), F.col("c_acctbal").cast("string"))).alias("amount"))
+
+
+@query("SELECT count(*) total FROM orders")
+def total_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows before paging."""
+    return read(spark, sf_dir, "orders").agg(F.count("*").alias("total"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE lang = 'en'")
+def type_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of one type."""
+    return read(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", "source")
+
+
+@query(CHECKED + "SELECT doc_id, CAST(n_errors AS BIGINT) n_errors, CAST(n_warnings AS BIGINT) n_warnings FROM v WHERE n_errors + n_warnings > 0")
+def finding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors and warnings of the records that have any."""
+    return validate_invoices(invoices(spark, sf_dir)).filter("n_errors + n_warnings > 0").select("doc_id", "n_errors", "n_warnings")
+
+
+@query("SELECT user_id, count(*) total, count(value) processed, count(*)-count(value) failed, CASE WHEN count(value)=count(*) THEN 'success' ELSE 'partial' END status FROM events GROUP BY 1")
+def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with and without a value by batch; a batch with a failed item is partial."""
+    counted = read(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("total"), F.count("value").alias("processed"))
+    failed = F.col("total") - F.col("processed")
+    return counted.select("user_id", "total", "processed", failed.alias("failed"), F.when(failed == 0, "success").otherwise("partial").alias("status"))
+
+
+@query("SELECT source, count(*) n_docs, count(quality) n_labelled, round(avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END), 4) type_match FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
+def label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of matches by source; a document without a label counts as no match."""
+    joined = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    match = F.coalesce(F.col("quality") == 1, F.lit(False)).cast("double")
+    return joined.groupBy("source").agg(F.count("*").alias("n_docs"), F.count("quality").alias("n_labelled"), F.round(F.avg(match), 4).alias("type_match"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '... [truncated]' ELSE text END shown FROM documents")
+def truncate_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 200 characters of longer texts."""
+    return read(spark, sf_dir, "documents").select("doc_id", T.truncate_json(F.col("text"), 200).alias("shown"))
+
+
+@query("SELECT c_custkey, '+919' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') phone FROM customer")
+def normalise_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten-digit numbers made of the keys and written with a dash, read back with the country code."""
+    digits = F.lpad(F.col("c_custkey").cast("string"), 9, "0")
+    written = F.concat(F.lit("9"), F.substring(digits, 1, 4), F.lit("-"), F.substring(digits, 5, 5))
+    return read(spark, sf_dir, "customer").select("c_custkey", V.normalise_phone(written).alias("phone"))
