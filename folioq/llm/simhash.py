@@ -86,9 +86,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected_components(links(classes.filter("rep is not null")))
     known = classes.join(roots, classes.rep == roots.v, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return prints.join(known, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
-
-
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows whose id is the smallest of its component, all columns kept; rows with a null id are kept."""
-    gone = near_duplicates(docs, id_col, text_col).filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
