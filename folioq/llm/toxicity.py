@@ -19,8 +19,9 @@ from folioq.llm.common import cut, split_bucket
 
 #: At most about this many labelled rows are used for fitting; beyond it a hash of the id thins them evenly.
 FIT_ROWS = 40_000
-#: Words of the learned lexicon at most; they are learned from the rows used for fitting.
-LEXICON_WORDS = 256
+#: Standard deviations by which a word's marked texts must exceed what the label's rate explains; no number of words is set,
+#: since the rows used for fitting bound it.
+MARKED = 5.0
 #: Rejection threshold on the calibrated score.
 THRESHOLD = 0.3
 FEATURES = ["lexicon_density", "lexicon_hits", "lexicon_kinds", "near_second_person", "second_person", "capitals", "capital_words", "exclamations", "punctuation", "digits", "symbols", "obfuscated", "obfuscated_hits", "log_words"]
@@ -71,13 +72,17 @@ def features(text: str | None, lexicon: frozenset[str]) -> list[float]:
     ]
 
 
-def learn_lexicon(rows: DataFrame, text_col: str, label_col: str, size: int = LEXICON_WORDS) -> frozenset[str]:
-    """Words that mark the label: in at least 10 marked texts, and smoothed share of marked ones above a half."""
-    word = F.explode(F.array_distinct(F.transform(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"[\x09-\x0D\x20]+"), lambda w: F.btrim(w, F.lit(EDGE))))).alias("word")
-    counts = rows.select(F.col(label_col).alias("y"), word).filter("word <> ''").groupBy("word").agg(F.sum("y").alias("t"), F.count("*").alias("n"))
-    rate = (F.col("t") + 1) / (F.col("n") + 9)
-    top = counts.filter((F.col("t") >= 10) & (rate > 0.5)).orderBy(F.desc(rate), "word").limit(size)
-    return frozenset(r[0] for r in top.select("word").collect())
+def learn_lexicon(rows: DataFrame, text_col: str, label_col: str, least: float = MARKED) -> frozenset[str]:
+    """Words in more marked texts than the label's rate explains: least standard deviations of the binomial, one text as prior.
+
+    The test needs no fixed number of texts, so few labels still give a lexicon: at a rate of 0.12 four marked texts and no
+    other are enough.
+    """
+    words = F.array_distinct(F.transform(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"[\x09-\x0D\x20]+"), lambda w: F.btrim(w, F.lit(EDGE))))
+    counts = rows.select(F.col(label_col).alias("y"), F.explode(words).alias("word")).filter("word <> ''").groupBy("word").agg(F.sum("y").alias("t"), F.count("*").alias("n"))
+    rate = float(rows.agg(F.avg(label_col)).first()[0] or 0.0)
+    excess = (F.col("t") - rate * F.col("n")) / F.sqrt(F.lit(max(rate * (1 - rate), 1e-6)) * F.col("n"))
+    return frozenset(r[0] for r in counts.filter((F.col("t") > 1) & (excess >= least)).select("word").collect())
 
 
 def with_features(df: DataFrame, text_col: str, lexicon: frozenset[str]) -> DataFrame:
@@ -121,7 +126,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn from labelled rows whose crc32(id) mod 4 is not 2; of these, remainder 1 serves the calibration.
 
     Null labels are left out; contradicting labels of one id each count. No labelled rows, or one class only, give
-    a model that answers with the rate of the label (0 without labels).
+    a model that answers with the rate of the label (0 without labels). Very long texts count whole, one at a time; equal
+    scores stay equal, and repeated rows score alike.
     """
     bucket = split_bucket(F.col(id_col), 4)
     usable = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (bucket != 2)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("label"))
