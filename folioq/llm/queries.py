@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioq.llm.common import split_bucket, table
+from folioq.llm.licences import oracle_sql as licence_sql
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -95,10 +96,10 @@ def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licence statements of every document by line."""
-    from folioq.llm.licences import licence_lines
+    """Licences that every document or a passage of it states."""
+    from folioq.llm.licences import licences
 
-    return licence_lines(table(spark, sf_dir, "documents"))
+    return licences(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -114,4 +115,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_license_scans": licence_sql()}
