@@ -15,7 +15,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioq.llm.common import cut, split_bucket
+from folioq.llm.common import split_bucket, store
 
 #: At most about this many labelled rows are used for fitting; beyond it a hash of the id thins them evenly.
 FIT_ROWS = 40_000
@@ -138,12 +138,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not n or positive in (0, n):
         return ToxicityModel(frozenset(), None, float(positive or 0) / max(1, n))
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = cut(picked.join(usable, picked.id == usable["_id"]).select("id", "text", "label"))
+    # at most about fit_rows pairs of id and label are left, so they go to the texts rather than the texts to them
+    rows = store(picked.join(F.broadcast(usable), picked.id == usable["_id"]).select("id", "text", "label"))
     calibrating = split_bucket(F.col("id"), 4) == 1
     if rows.filter(~calibrating).select("label").distinct().count() < 2:
         return ToxicityModel(frozenset(), None, float(positive) / n)
     lexicon = learn_lexicon(rows.filter(~calibrating), "text", "label")
-    table = cut(with_features(rows, "text", lexicon))
+    table = store(with_features(rows, "text", lexicon))
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     data = assembler.transform(table.filter(~calibrating)).select("features", "label")
     gbt = GBTClassifier(maxIter=20, maxDepth=3, stepSize=0.2, minInstancesPerNode=5, seed=7).fit(data)
