@@ -89,10 +89,12 @@ PII_KEY = "folioq"
 
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with surrogates for its personal data."""
-    from folioq.llm.pii import with_surrogates
+    """Every document with surrogates for its personal data, and how many entities of the corpus share one by mistake."""
+    from folioq.llm.pii import entity_map, with_surrogates
 
-    return with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, count_col="n_entities")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    shared = entity_map(docs, PII_KEY).filter("shared").count()
+    return with_surrogates(docs, PII_KEY, count_col="n_entities").withColumn("n_shared", F.lit(shared).cast("long"))
 
 
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
