@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioq.llm.bpe import token_lengths
 
+#: Limits that are answered even if no document has that length.
+LIMITS = (512, 1024, 2048, 4096, 8192, 16384, 32768, 131072)
 #: Lengths that share one block of the two-level suffix sum.
 BLOCK = 1024
 
@@ -16,15 +20,18 @@ def length_histogram(docs: DataFrame, path: str, text_col: str = "text") -> Data
     return token_lengths(docs, path, text_col).groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
 
 
-def context_report(histogram: DataFrame) -> DataFrame:
-    """For every occurring length taken as context limit, the answers a planner needs.
+def context_report(histogram: DataFrame, limits: Sequence[int] = LIMITS) -> DataFrame:
+    """For every occurring length and every given limit taken as context limit, the answers a planner needs.
 
     Per limit L: n_docs of that length; docs_within and tokens_within for documents that fit; docs_over for those
     that do not; truncated_tokens, the sum of min(length, L); total_tokens; quantile, the share of documents that
     fit. The suffix sums run in blocks of lengths, so no task sees more than BLOCK lengths or the block totals.
-    An empty histogram gives an empty report.
+    Rows of one length are added up; lengths and counts that are null are left out. An empty histogram gives an empty report.
+    The histogram is read twice, so an expensive one should be stored first.
     """
-    h = histogram.select(
+    known = histogram.select(F.col("n_tokens").cast("long"), F.col("n_docs").cast("long")).filter("n_tokens is not null and n_docs is not null")
+    asked = known.limit(1).select(F.explode(F.array(*map(F.lit, limits)).cast("array<long>")).alias("n_tokens"), F.lit(0).cast("long").alias("n_docs")) if limits else known.limit(0)
+    h = known.unionByName(asked).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")).select(
         F.col("n_tokens").cast("long").alias("n_tokens"),
         F.col("n_docs").cast("long").alias("n_docs"),
         F.floor(F.col("n_tokens") / BLOCK).alias("block"),
@@ -58,3 +65,14 @@ def context_report(histogram: DataFrame) -> DataFrame:
         F.col("all_tokens").alias("total_tokens"),
         ((F.col("all_docs") - over) / F.col("all_docs")).alias("quantile"),
     )
+
+
+def limit_answers(histogram: DataFrame, limits: Sequence[int]) -> DataFrame:
+    """The report's rows for just these limits, whichever they are."""
+    return context_report(histogram, limits).filter(F.col("context_limit").isin(*limits))
+
+
+def quantile_lengths(report: DataFrame, quantiles: Sequence[float]) -> DataFrame:
+    """(quantile, n_tokens): the least length within which at least that share of the documents fits; null for an empty report."""
+    least = [F.struct(F.lit(float(q)).alias("quantile"), F.min(F.when((F.col("quantile") >= q) & (F.col("n_docs") > 0), F.col("context_limit"))).alias("n_tokens")) for q in quantiles]
+    return report.agg(F.array(*least).alias("x")).select(F.inline("x"))

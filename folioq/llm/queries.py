@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioq.llm.common import split_bucket, table
+from folioq.llm.common import split_bucket, store, table
 from folioq.llm.licences import oracle_sql as licence_sql
 
 
@@ -29,7 +29,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length histogram of all documents with suffix sums for every context limit."""
     from folioq.llm.lengths import context_report, length_histogram
 
-    return context_report(length_histogram(table(spark, sf_dir, "documents"), vocabulary()))
+    return context_report(store(length_histogram(table(spark, sf_dir, "documents"), vocabulary())))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
