@@ -8,17 +8,22 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioq.llm.common import fold
+from folioq.llm.common import fold, store
 
-#: Words of test items per automaton; a larger benchmark is handled in several automata, one pass each.
-WORDS_PER_AUTOMATON = 1_000_000
+#: Words of test items per automaton (about 1.2 KB each in a worker); a larger benchmark is handled in blocks, one pass each.
+WORDS_PER_AUTOMATON = 100_000
+#: Starts the names of items without an id.
+NAMELESS = "\x00"
+FOUND, FOUND_TYPE = "_found", "struct<starts: array<bigint>, ends: array<bigint>, items: array<string>>"
 #: Everything outside a-z, 0-9 and non-ASCII separates words (upper case is folded before).
 SEPARATORS = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
@@ -125,17 +130,74 @@ class ItemAutomaton:
                 spans.append((at - span, at))
 
 
-def automata(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> list[ItemAutomaton]:
-    """Automata of bounded size that together hold every item; items are read partition by partition."""
-    out, block, words = [], [], 0
-    for row in benchmark.select(F.col(id_col).cast("string"), text_col).toLocalIterator():
-        item = words_of(row[1])
-        if block and words + len(item) > WORDS_PER_AUTOMATON:
-            out.append(ItemAutomaton(block, window))
-            block, words = [], 0
-        block.append((str(row[0]), item))
-        words += len(item)
-    return [*out, ItemAutomaton(block, window)] if block else out
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[DataFrame]:
+    """The items as (id, text) in blocks of about WORDS_PER_AUTOMATON words, dealt by a hash; one block is the usual case."""
+    items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    words = items.agg(F.sum(F.regexp_count("text", F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")))).first()[0] or 0
+    n = 1 + words // WORDS_PER_AUTOMATON
+    return [items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == i) if n > 1 else items for i in range(n)]
+
+
+def automaton(block: DataFrame, window: int) -> ItemAutomaton:
+    """The automaton of a block; items without an id get names of their own, which no digest shows."""
+    rows = sorted((r.id is None, r.id or "", r.text) for r in block.collect())
+    return ItemAutomaton([(f"{NAMELESS}{i}" if bare else name, words_of(text)) for i, (bare, name, text) in enumerate(rows)], window)
+
+
+def matched(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, item_col: str) -> tuple[DataFrame, Callable[[], Callable]]:
+    """The documents, and what gives a task its function from a text to (words, spans, items).
+
+    A single block is broadcast: its size is bounded. Of several blocks only one at a time is with the tasks; the documents are
+    numbered and stored, matched against the blocks one after another, and get the joined findings as a column.
+    """
+    blocks = item_blocks(benchmark, item_col, "text")
+    sc = docs.sparkSession.sparkContext
+    if len(blocks) == 1:
+        shared = sc.broadcast(automaton(blocks[0], window))
+
+        def by_automaton() -> Callable:
+            own = shared.value
+
+            def find(text: str | None, _: object) -> tuple[list[bytes], list[tuple[int, int]], set[str]]:
+                words = words_of(text)
+                return words, *own.matches(words)
+
+            return find
+
+        return docs.withColumn(FOUND, F.lit(None).cast(FOUND_TYPE)), by_automaton
+    numbered = store(docs.withColumn("_row", F.monotonically_increasing_id()))
+    parts = []
+    for block in blocks:
+        shared = sc.broadcast(automaton(block, window))
+        parts.append(store(numbered.select("_row", F.col(text_col).cast("string").alias("text")).mapInArrow(block_findings(shared), f"_row long, {FOUND} {FOUND_TYPE}")))
+        shared.destroy()
+    found = reduce(DataFrame.unionByName, parts).groupBy("_row").agg(F.collect_list(FOUND).alias("all"))  # a row a block at most
+    merged = found.select("_row", F.struct(F.flatten("all.starts").alias("starts"), F.flatten("all.ends").alias("ends"), F.flatten("all.items").alias("items")).alias(FOUND))
+
+    def by_column() -> Callable:
+        def find(text: str | None, known: dict | None) -> tuple[list[bytes], list[tuple[int, int]], set[str]]:
+            return words_of(text), list(zip(known["starts"], known["ends"], strict=True)) if known else [], set(known["items"]) if known else set()
+
+        return find
+
+    return numbered.join(merged, "_row", "left").drop("_row"), by_column
+
+
+def block_findings(shared: Broadcast) -> Callable:
+    """Per text with a match (row, spans, items) for one block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found = [], []
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                spans, items = shared.value.matches(words_of(text.as_py()))
+                if spans:
+                    rows.append(row)
+                    found.append({"starts": [int(a) for a, _ in spans], "ends": [int(b) for _, b in spans], "items": sorted(items)})
+            kind = pa.struct([("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(found, kind)], ["_row", FOUND])
+
+    return run
 
 
 def covered(spans: list[tuple[int, int]], n: int) -> np.ndarray:
@@ -150,40 +212,33 @@ def covered(spans: list[tuple[int, int]], n: int) -> np.ndarray:
 def hit_report(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """Per document n_words, n_hit, n_items, items_sha256, contaminated; no text is changed.
 
-    Null and empty texts have no words and no hits; null or wordless items match nothing; repeated items count as
-    one item if their id is the same. Repeated documents are reported each. Extra columns are not carried along.
+    Null and empty texts have no words and no hits; wordless items match nothing. Items with one id count as one item; items
+    without an id count each, but have no place in the digest. Repeated documents are reported each, very long ones are
+    matched whole. Extra columns are not carried along.
     """
-    broadcast = [docs.sparkSession.sparkContext.broadcast(a) for a in automata(benchmark, window, item_col, "text")]
+    src, finder = matched(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), benchmark, window, "text", item_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b.value for b in broadcast]
+        find = finder()
         for batch in batches:
             rows: list[tuple[int, int, int, str]] = []
-            for text in batch.column(1).to_pylist():
-                words, spans, items = words_of(text), [], set()
-                for a in held:
-                    more, names = a.matches(words)
-                    spans += more
-                    items |= names
+            for text, known in zip(batch.column(1), batch.column(2), strict=True):
+                words, spans, items = find(text.as_py(), known.as_py())
                 n_hit = int(covered(spans, len(words)).sum()) if spans else 0
-                rows.append((len(words), n_hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()))
+                shown = ",".join(sorted(x for x in items if not x.startswith(NAMELESS)))
+                rows.append((len(words), n_hit, len(items), hashlib.sha256(shown.encode()).hexdigest()))
             n_words, n_hit, n_items, sha = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(x, pa.int64()) for x in (n_words, n_hit, n_items)), pa.array(sha, pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_())],
                 ["id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
             )
 
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     return src.mapInArrow(run, f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean").withColumnRenamed("id", id_col)
 
 
-def remove_spans(text: str, held: list[ItemAutomaton], max_coverage: float) -> str | None:
+def without(text: str, words: list[bytes], spans: list[tuple[int, int]], max_coverage: float) -> str | None:
     """The text without covered words; null if they are more than max_coverage of it."""
-    words = words_of(text)
-    spans = [s for a in held for s in a.matches(words)[0]]
-    if not spans:
-        return text
     hit = covered(spans, len(words))
     if hit.mean() > max_coverage:
         return None
@@ -199,21 +254,23 @@ def remove_spans(text: str, held: list[ItemAutomaton], max_coverage: float) -> s
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """Cut covered spans out of the texts and drop documents of which they cover more than max_coverage.
 
-    All columns are kept. Null and empty texts pass unchanged, as does everything when the benchmark is empty.
+    All columns are kept. Null and empty texts pass unchanged, as does everything when the benchmark is empty; rows are
+    judged each, repeated and very long ones too.
     """
-    broadcast = [docs.sparkSession.sparkContext.broadcast(a) for a in automata(benchmark, window, item_col, "text")]
-    at = docs.columns.index(text_col)
+    src, finder = matched(docs, benchmark, window, text_col, item_col)
+    at, last = docs.columns.index(text_col), len(docs.columns)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b.value for b in broadcast]
+        find = finder()
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            new = [remove_spans(t, held, max_coverage) if t else t for t in texts]
-            keep = pa.array([n is not None or not t for n, t in zip(new, texts, strict=True)], pa.bool_())
-            columns = list(batch.columns)
+            new, keep = [], []
+            for text, known in zip(batch.column(at).to_pylist(), batch.column(last), strict=True):
+                words, spans, _ = find(text, known.as_py())
+                new.append(without(text, words, spans, max_coverage) if spans else text)
+                keep.append(not spans or new[-1] is not None)
+            columns = list(batch.columns)[:last]
             columns[at] = pa.array(new, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names).filter(keep)
-
-    return docs.mapInArrow(run, docs.schema)
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
 
+    return src.select(*names, FOUND).mapInArrow(run, docs.schema)
