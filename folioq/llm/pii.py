@@ -30,7 +30,7 @@ PLAIN = ("0123456789", *LATIN[:2])
 CALLING = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 WORD = r"\p{Lu}(?:\p{L}|['’-](?=\p{L})){1,40}"
-TITLE = rf"(?:{'|'.join(TITLES)})\.?\x20"
+TITLE = rf"(?:{'|'.join(TITLES + [t.upper() for t in TITLES])})\.?\x20"
 #: Entity kinds in the order in which they are tried at a place. Phone numbers have 7 to 15 digits after a plus, or groups as
 #: written in the United States, France, Spain and Germany.
 KINDS = {
@@ -44,7 +44,7 @@ KINDS = {
 }
 PATTERN = "|".join(KINDS.values())
 #: Every entity has a match of this, which is cheaper to look for: most texts have none and are passed on.
-QUICK = rf"@|[0-9](?:[^\p{{L}}]{{0,3}}[0-9]){{3}}|(?=[A-ZА-Я])(?:[A-Z]{{2}}[0-9]{{2}}|(?<!\p{{L}})(?:{'|'.join(TITLES + MALE + FEMALE)})[.\x20])"
+QUICK = rf"@|[0-9](?:[^\p{{L}}]{{0,3}}[0-9]){{3}}|(?=[A-ZА-Я])(?:[A-Z]{{2}}[0-9]{{2}}|(?<!\p{{L}})(?:{'|'.join(TITLES + [t.upper() for t in TITLES] + MALE + FEMALE)})[.\x20])"
 
 
 def kind_of(entity: Column) -> Column:

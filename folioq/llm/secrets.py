@@ -150,8 +150,8 @@ def labelled_formats(docs: DataFrame, text_col: str) -> tuple[list[tuple[str, in
                 classes = "".join([*rest, text[at:]]).translate(CLASSES)
                 for c in SYMBOLS:
                     ordinary[c] += classes.count(c)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([1] * len(found), pa.int64()), pa.array([False] * len(found))], ["form", "n", "ordinary"])
-        yield pa.RecordBatch.from_arrays([pa.array(list(ordinary), pa.string()), pa.array(list(ordinary.values()), pa.int64()), pa.array([True] * len(ordinary))], ["form", "n", "ordinary"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([1] * len(found), pa.int64()), pa.array([False] * len(found), pa.bool_())], ["form", "n", "ordinary"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(ordinary), pa.string()), pa.array(list(ordinary.values()), pa.int64()), pa.array([True] * len(ordinary), pa.bool_())], ["form", "n", "ordinary"])
 
     counts = store(docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "form string, n long, ordinary boolean").groupBy("form", "ordinary").agg(F.sum("n").alias("n")))
     picked, symbols = [], 0
