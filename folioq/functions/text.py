@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioq.functions.values import stripped
+
 #: Scripts told apart, by language code.
 SCRIPTS = {"hin": r"[\x{0900}-\x{097F}]", "guj": r"[\x{0A80}-\x{0AFF}]", "eng": r"[\x{0041}-\x{007A}]"}
 LANGUAGE_NAMES = {"eng": "English", "hin": "Hindi", "guj": "Gujarati"}
@@ -28,13 +30,17 @@ def detect_script(text: Column) -> Column:
 
 
 def garbage_text(text: Column) -> Column:
-    """Text that is short, has few words or many symbols; null counts as garbage."""
-    tokens = words(text)
-    real = F.size(F.filter(tokens, lambda w: w.rlike(r"[a-zA-Z\x{0900}-\x{097F}\x{0A80}-\x{0AFF}]{3,}")))
-    shown = F.length(F.regexp_replace(text, r"[\n ]", ""))
-    symbols = F.when(shown > 0, 1 - F.regexp_count(text, F.lit(r"[\p{L}\p{N}]")) / shown).otherwise(1.0)
-    short = F.length(F.regexp_replace(text, r"(?U)^\s+|\s+$", "")) < 20
-    return F.coalesce(F.when(short | (F.size(tokens) == 0), True).otherwise((real / F.size(tokens) < 0.40) | (symbols > 0.35)), F.lit(True))
+    """Text that is short, has few words or many symbols; null counts as garbage.
+
+    Words are counted as they start and real ones as they first show three letters in a row, so no array of words is built.
+    """
+    tokens = F.regexp_count(text, F.lit(r"(?U)\S+"))
+    real = F.regexp_count(text, F.lit(r"(?U)[a-zA-Z\x{0900}-\x{097F}\x{0A80}-\x{0AFF}]{3}\S*"))
+    shown = F.length(F.translate(text, "\n ", ""))
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]+", ""))
+    symbols = F.when(shown > 0, 1 - letters / shown).otherwise(1.0)
+    short = F.length(stripped(text)) < 20
+    return F.coalesce(F.when(short | (tokens == 0), True).otherwise((real / tokens < 0.40) | (symbols > 0.35)), F.lit(True))
 
 
 def chunk_text(text: Column, limit: int = 8000, size: int = 4000, overlap: int = 500) -> Column:
@@ -47,9 +53,10 @@ def truncate_json(text: Column, n: int, marker: str = "... [truncated]") -> Colu
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit(marker))).otherwise(text)
 
 
-def clean_filename(name: Column) -> Column:
-    """Base name with unusual characters as _ and without outer dots and underscores."""
-    return F.btrim(F.regexp_replace(F.regexp_extract(name, r"([^/\\]*)$", 1), r"[^A-Za-z0-9._-]", "_"), F.lit("._"))
+def clean_filename(name: Column, ts: Column | None = None) -> Column:
+    """Base name with unusual characters as _ and without outer dots and underscores; nothing left gives upload_ts."""
+    bare = F.btrim(F.regexp_replace(F.regexp_extract(name, r"([^/\\]*)$", 1), r"[^A-Za-z0-9._-]", "_"), F.lit("._"))
+    return bare if ts is None else F.when(F.coalesce(bare, F.lit("")) == "", F.concat(F.lit("upload_"), ts.cast("string"))).otherwise(bare)
 
 
 def language_name(code: Column) -> Column:
@@ -57,3 +64,87 @@ def language_name(code: Column) -> Column:
     for k, v in LANGUAGE_NAMES.items():
         out = F.when(code == k, v).otherwise(out)
     return out
+
+
+#: Page markers, with what an OCR marker tells.
+PAGE_MARK = r"\n?--- Page \d+[^\n]*---\n?"
+PAGE_HEAD = r"--- Page (\d+)(?: \(Language: ([^,]*), OCR Confidence: ([0-9.]+)%, Engine: ([^)]*)\))? ---"
+#: Formats of identifiers and common values, each with what may not stand before and after it.
+IDENTIFIERS = {
+    "gstin": r"(?:^|[^A-Z0-9])([0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][1-9A-Z]Z[0-9A-Z])(?:$|[^A-Z0-9])",
+    "pan": r"(?:^|[^A-Z0-9])([A-Z]{5}[0-9]{4}[A-Z])(?:$|[^A-Z0-9])",
+    "uid": r"(?:^|[^0-9-])([0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4})(?:$|[^0-9-])",
+    "ifsc": r"(?:^|[^A-Z0-9])([A-Z]{4}0[A-Z0-9]{6})(?:$|[^A-Z0-9])",
+    "passport": r"(?:^|[^A-Z0-9])([A-PR-WY][0-9]{7})(?:$|[^0-9])",
+    "dl": r"(?:^|[^A-Z0-9])([A-Z]{2}[0-9]{2}[ -]?[0-9]{11})(?:$|[^0-9])",
+    "email": r"([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z0-9.-]*[A-Za-z])",
+    "phone": r"([+][0-9]{1,3} ?[(]?[0-9]{3}[)]? ?[0-9]{3}-[0-9]{4})",
+    "amount": r"([₹$€£] ?[0-9][0-9,]*(?:[.][0-9]+)?)",
+    "date": r"(?:^|[^0-9])([0-9]{4}-[0-9]{2}-[0-9]{2})(?:$|[^0-9])",
+}
+
+
+def clean_script(text: Column, code: Column) -> Column:
+    """Without single stray letters of the other Indian script and with spaces and blank lines squeezed; English stays."""
+    lone = r"(?U)(?<!\S)[\x{%s}-\x{%s}](?!\S)"
+    hin = F.regexp_replace(text, lone % ("0A80", "0AFF"), "")
+    guj = F.regexp_replace(text, lone % ("0900", "097F"), "")
+    bare = F.when(code == "hin", hin).when(code == "guj", guj).otherwise(text)
+    return F.when(code == "eng", text).otherwise(F.regexp_replace(F.regexp_replace(bare, "  +", " "), r"\n{3,}", "\n\n"))
+
+
+def split_pages(text: Column) -> Column:
+    """Array of (page, language, confidence, engine, text) of a text with page markers; without markers it is page 1."""
+    marks = F.regexp_extract_all(text, F.lit(PAGE_HEAD), F.lit(0))
+    parts = F.split(text, PAGE_MARK, -1)
+    text_or_null = lambda m, i: F.nullif(F.regexp_extract(m, PAGE_HEAD, i), F.lit(""))
+    one = F.array(F.struct(F.lit(1).alias("page"), F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("engine"), text.alias("text")))
+    many = F.transform(marks, lambda m, i: F.struct(text_or_null(m, 1).cast("int").alias("page"), text_or_null(m, 2).alias("language"), text_or_null(m, 3).cast("double").alias("confidence"), text_or_null(m, 4).alias("engine"), F.get(parts, i + 1).alias("text")))
+    return F.when(F.size(marks) > 0, many).otherwise(one)
+
+
+def page_first_marker(text: Column) -> Column:
+    """The share in the first OCR confidence marker, within 0 and 1; null without one."""
+    found = F.regexp_extract(text, r"OCR Confidence: ([0-9]+(?:\.[0-9]+)?)%", 1)
+    return F.when(found != "", F.greatest(F.lit(0.0), F.least(F.lit(1.0), found.cast("double") / 100)))
+
+
+def layout_profile(text: Column) -> Column:
+    """(text_regions, has_tables, has_images): lines, and whether tables or images are marked."""
+    return F.struct(F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1))).cast("long").alias("text_regions"), F.coalesce(F.contains(text, F.lit("|")), F.lit(False)).alias("has_tables"), F.coalesce(text.rlike("(?i)<img|\\[image"), F.lit(False)).alias("has_images"))
+
+
+def parse_pipe_table(text: Column) -> Column:
+    """Rows of cells of the first marked table, else of all lines with pipes; cells are trimmed, outer pipes dropped."""
+    marked = F.regexp_extract(text, r"(?s)\[TABLE\](.*?)\[/TABLE\]", 1)
+    lines = F.filter(F.split(F.when(marked != "", marked).otherwise(text), "\n"), lambda x: F.contains(x, F.lit("|")))
+    return F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|", -1), lambda c: F.trim(c)))
+
+
+def run_folder_name(name: Column, ts: Column) -> Column:
+    """yyyyMMdd_HHmmss and the file name's stem with anything but letters and digits as _."""
+    stem = F.regexp_replace(F.regexp_extract(name, r"([^/\\]*)$", 1), r"\.[^.]*$", "")
+    return F.concat_ws("_", F.date_format(ts, "yyyyMMdd_HHmmss"), F.regexp_replace(stem, r"[^\p{L}\p{N}]", "_"))
+
+
+def title_label(key: Column, prefix: Column | None = None) -> Column:
+    """A key in title case, after its parent's label if there is one."""
+    label = F.initcap(F.replace(key, F.lit("_"), F.lit(" ")))
+    return label if prefix is None else F.concat_ws(" > ", prefix, label)
+
+
+def extract_identifiers(text: Column) -> Column:
+    """Array of (kind, value) of all identifiers in the text, by kind in the order of IDENTIFIERS, then by place."""
+
+    def found(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    of = [found(k, p) for k, p in IDENTIFIERS.items()]
+    return F.coalesce(F.concat(*of), F.array().cast("array<struct<kind: string, value: string>>"))
+
+
+def detect_language_set(available: Column, detected: Column | None = None) -> Column:
+    """Language packs to read with: eng with all available ones, or with the detected one only."""
+    packs = F.array(F.lit("hin"), F.lit("guj"))
+    wanted = packs if detected is None else F.array_intersect(packs, F.array(detected))
+    return F.array_join(F.concat(F.array(F.lit("eng")), F.array_intersect(wanted, available)), "+")

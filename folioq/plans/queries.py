@@ -2,36 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioq.functions import text as T
-from folioq.functions import values as V
 from folioq.operators.validation import validate_invoices
+from folioq.plans import texts  # noqa: F401 (registers its queries)
+from folioq.plans.base import ORACLE_SQL, QUERIES, query, read
 from folioq.streaming.rates import stream_rates
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL if there is one."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as invoice records with their line items; tax is what the lines charge."""
     line = read(spark, sf_dir, "lineitem")
@@ -71,12 +50,6 @@ def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).alias("n_words"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_text"))
 
 
-@query(r"""WITH c AS (SELECT doc_id, length(regexp_replace(coalesce(text,''),'[^\x{0900}-\x{097F}]','','g')) h, length(regexp_replace(coalesce(text,''),'[^\x{0A80}-\x{0AFF}]','','g')) g, length(regexp_replace(coalesce(text,''),'[^A-z]','','g')) e FROM documents)
-SELECT doc_id, CASE WHEN h+g+e>0 AND h/(h+g+e)>=0.15 AND h>=g THEN 'hin' WHEN h+g+e>0 AND g/(h+g+e)>=0.15 THEN 'guj' ELSE 'eng' END script FROM c""")
-def detect_script(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", T.detect_script(F.col("text")).alias("script"))
-
-
 @query(rf"""WITH c AS (SELECT doc_id, coalesce(text,'') t, {WORDS} w FROM documents), d AS (SELECT doc_id, t, len(w) n, len(list_filter(w, lambda x: regexp_matches(x,'[a-zA-Z\x{{0900}}-\x{{097F}}\x{{0A80}}-\x{{0AFF}}]{{3,}}'))) r,
  length(regexp_replace(t,'[^\p{{L}}\p{{N}}]','','g')) a, length(regexp_replace(t,'[\n ]','','g')) s FROM c)
 SELECT doc_id, CASE WHEN length(regexp_replace(t,'^\s+|\s+$','','g'))<20 OR n=0 THEN true ELSE r/n<0.40 OR (CASE WHEN s>0 THEN 1-a/s ELSE 1.0 END)>0.35 END garbage FROM d""")
@@ -146,18 +119,6 @@ def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_rates(read(spark, sf_dir, "events"))
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate,'%Y-%m-%d') iso FROM orders")
-def parse_date_iso(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates written day first and read back."""
-    return read(spark, sf_dir, "orders").select("o_orderkey", V.parse_date_iso(F.date_format("o_orderdate", "dd/MM/yyyy")).alias("iso"))
-
-
-@query("SELECT c_custkey, c_acctbal amount FROM customer")
-def to_float(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Amounts written with a currency sign and read back."""
-    return read(spark, sf_dir, "customer").select("c_custkey", V.to_float(F.concat(F.lit("₹ "), F.col("c_acctbal").cast("string"))).alias("amount"))
-
-
 @query("SELECT count(*) total FROM orders")
 def total_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows before paging."""
@@ -196,11 +157,3 @@ def label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def truncate_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 200 characters of longer texts."""
     return read(spark, sf_dir, "documents").select("doc_id", T.truncate_json(F.col("text"), 200).alias("shown"))
-
-
-@query("SELECT c_custkey, '+919' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') phone FROM customer")
-def normalise_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten-digit numbers made of the keys and written with a dash, read back with the country code."""
-    digits = F.lpad(F.col("c_custkey").cast("string"), 9, "0")
-    written = F.concat(F.lit("9"), F.substring(digits, 1, 4), F.lit("-"), F.substring(digits, 5, 5))
-    return read(spark, sf_dir, "customer").select("c_custkey", V.normalise_phone(written).alias("phone"))
