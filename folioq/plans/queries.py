@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioq.functions import text as T
 from folioq.operators.validation import validate_invoices
-from folioq.plans import texts  # noqa: F401 (registers its queries)
+from folioq.plans import records, texts  # noqa: F401 (registers its queries)
 from folioq.plans.base import ORACLE_SQL, QUERIES, query, read
 from folioq.streaming.rates import stream_rates
 
