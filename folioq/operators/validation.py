@@ -1,7 +1,8 @@
-"""Arithmetic checks of invoice records and the score of their findings.
+"""Checks of records, their findings, and the score of an audit.
 
-A record has doc_id, subtotal, tax, total and items, an array of (quantity, unit_price, total). All checks are array
-expressions, so nothing is shuffled once the items of a record are together.
+An invoice has subtotal, tax, total and line_items, an array of (quantity, unit_price, total). Every check is an array expression
+that gives findings, so nothing is shuffled once the items of a record are together. Prices, item totals, tax and total of zero
+count as unknown; a quantity or subtotal of zero is a known value.
 """
 
 from __future__ import annotations
@@ -11,27 +12,111 @@ from pyspark.sql import functions as F
 
 from folioq.functions.values import confidence_grade, is_close
 
+FINDING = "struct<pillar: string, severity: string, field: string, message: string, expected: string, actual: string>"
+TEST = "struct<test_name: string, assertion: string, passed: boolean, detail: string, expected_value: string, actual_value: string>"
+LOGICAL, TRUTH = "logical_consistency", "truth_test"
+
+
+def none(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
+
+
+def amount_text(x: Column) -> Column:
+    """An amount with two decimals."""
+    return F.format_string("%.2f", x.cast("double"))
+
+
+def finding(severity: str, field: Column, message: Column | str, expected: Column | None = None, actual: Column | None = None, pillar: str = LOGICAL) -> Column:
+    text = F.lit(None).cast("string")
+    return F.struct(F.lit(pillar).alias("pillar"), F.lit(severity).alias("severity"), field.alias("field"), (F.lit(message) if isinstance(message, str) else message).alias("message"), (text if expected is None else expected).alias("expected"), (text if actual is None else actual).alias("actual"))
+
+
+def known(x: Column) -> Column:
+    """Zero falls through as unknown."""
+    return F.when(x != 0, x)
+
 
 def line_total_sum(items: Column) -> Column:
     return F.aggregate(items, F.lit(0.0), lambda a, x: a + F.coalesce(x["total"], F.lit(0.0)))
 
 
 def check_line_math(items: Column) -> Column:
-    """Positions of items whose quantity times price is not their total within 2 %; unknown or zero operands pass."""
-    numbered = F.transform(items, lambda x, i: F.struct(i.alias("at"), (F.coalesce(is_close(x["quantity"] * x["unit_price"], x["total"]), F.lit(True)) | (x["quantity"] == 0) | (x["unit_price"] == 0) | (x["total"] == 0)).alias("ok")))
-    return F.transform(F.filter(numbered, lambda x: ~F.coalesce(x["ok"], F.lit(True))), lambda x: x["at"])
+    """An error for every item whose quantity times price is not its total within 2 %."""
+
+    def check(x: Column, i: Column) -> Column:
+        expected, total = F.round(x["quantity"] * known(x["unit_price"]), 2), known(x["total"])
+        field = F.concat(F.lit("line_items."), i.cast("string"), F.lit(".total"))
+        return F.when(~is_close(expected, total), finding("error", field, "Quantity × Unit Price ≠ Total", amount_text(expected), amount_text(total)))
+
+    return F.coalesce(F.array_compact(F.transform(items, check)), none(FINDING))
+
+
+def when_true(condition: Column, entry: Column, kind: str = FINDING) -> Column:
+    return F.when(F.coalesce(condition, F.lit(False)), F.array(entry)).otherwise(none(kind))
 
 
 def check_total(subtotal: Column, tax: Column, total: Column) -> Column:
-    """True if subtotal and tax miss the total; zero tax falls through as unknown, so the check is skipped."""
-    known = (subtotal != 0) & (tax != 0) & (total != 0)
-    return F.coalesce(known & ~is_close(subtotal + tax, total), F.lit(False))
+    """An error if subtotal and tax miss the total; skipped if one is unknown, and zero tax is."""
+    expected = F.round(subtotal + known(tax), 2)
+    return when_true(~is_close(expected, known(total)), finding("error", F.lit("total"), "Subtotal + Tax ≠ Total", amount_text(expected), amount_text(total)))
 
 
 def check_subtotal(subtotal: Column, items: Column) -> Column:
-    """True if the items' sum is positive and misses the subtotal."""
+    """A warning if the items' sum is positive and misses the subtotal."""
+    summed = line_total_sum(items)
+    return when_true((summed > 0) & ~is_close(subtotal, summed), finding("warning", F.lit("subtotal"), "Subtotal ≠ sum of line-item totals", amount_text(summed), amount_text(subtotal)))
+
+
+def check_grad_year(education: Column, as_of_year: int) -> Column:
+    """A warning for every graduation year before 1950 or more than ten years ahead of the year given."""
+
+    def check(x: Column, i: Column) -> Column:
+        year = F.nullif(F.regexp_extract(x["graduation_date"], r"(\d{4})", 1), F.lit("")).cast("int")
+        return F.when((year > as_of_year + 10) | (year < 1950), finding("warning", F.concat(F.lit("education."), i.cast("string"), F.lit(".graduation_date")), "Graduation year looks unrealistic", None, year.cast("string")))
+
+    return F.coalesce(F.array_compact(F.transform(education, check)), none(FINDING))
+
+
+def truth_test(name: str, assertion: str, passed: Column, expected: Column | None = None, actual: Column | None = None) -> Column:
+    """A test that is left out where its operands are unknown."""
+    text = F.lit(None).cast("string")
+    return F.when(passed.isNotNull(), F.struct(F.lit(name).alias("test_name"), F.lit(assertion).alias("assertion"), passed.alias("passed"), text.alias("detail"), (text if expected is None else expected).alias("expected_value"), (text if actual is None else actual).alias("actual_value")))
+
+
+def truth_rules_invoice(subtotal: Column, tax: Column, total: Column, items: Column) -> Column:
+    """The arithmetic of an invoice as tests."""
+    checkable = F.filter(items, lambda x: (x["quantity"] * known(x["unit_price"]) * known(x["total"])).isNotNull())
+    lines = F.when(F.size(checkable) > 0, ~F.exists(checkable, lambda x: ~is_close(x["quantity"] * x["unit_price"], x["total"])))
     summed = line_total_sum(items)
-    return F.coalesce((subtotal != 0) & (summed > 0) & ~is_close(summed, subtotal), F.lit(False))
+    tests = F.array(
+        truth_test("line_math", "quantity * unit_price = total", lines),
+        truth_test("subtotal", "sum of line totals = subtotal", F.when(F.size(items) > 0, is_close(summed, subtotal)), amount_text(summed), amount_text(subtotal)),
+        truth_test("total", "subtotal + tax = total", is_close(subtotal + tax, total), amount_text(subtotal + tax), amount_text(total)),
+    )
+    return F.array_compact(tests)
+
+
+def truth_rules_statement(opening: Column, closing: Column, transactions: Column) -> Column:
+    """A bank statement: the balances at its ends, and from each transaction to the next."""
+    moved = F.aggregate(transactions, F.lit(0.0), lambda a, x: a + F.coalesce(x["credit"], F.lit(0.0)) - F.coalesce(x["debit"], F.lit(0.0)))
+    before = F.concat(F.array(opening), F.transform(transactions, lambda x: x["balance"]))
+    steps = F.transform(transactions, lambda x, i: F.coalesce(F.abs(F.get(before, i) + F.coalesce(x["credit"], F.lit(0.0)) - F.coalesce(x["debit"], F.lit(0.0)) - x["balance"]) <= 0.01, F.lit(True)))
+    return F.array_compact(F.array(truth_test("closing", "opening + credits - debits = closing", F.abs(opening + moved - closing) <= 0.01, amount_text(opening + moved), amount_text(closing)), truth_test("running_balance", "each balance follows from the one before", F.when(F.size(transactions) > 0, F.forall(steps, lambda s: s)))))
+
+
+def truth_pass_rate(tests: Column) -> Column:
+    """Share of tests passed; 1 without tests."""
+    return F.when(F.size(tests) > 0, F.size(F.filter(tests, lambda t: t["passed"])) / F.size(tests)).otherwise(1.0)
+
+
+def truth_to_findings(tests: Column) -> Column:
+    """A warning for every failed test."""
+    failed = F.filter(tests, lambda t: ~t["passed"])
+    return F.transform(failed, lambda t: finding("warning", t["test_name"], F.concat(F.lit("Truth test failed: "), t["assertion"]), t["expected_value"], t["actual_value"], TRUTH))
+
+
+def severity_count(findings: Column, severity: str) -> Column:
+    return F.size(F.filter(findings, lambda f: f["severity"] == severity)).cast("long")
 
 
 def validation_score(errors: Column, warnings: Column, passed: Column | float = 1.0) -> Column:
@@ -41,11 +126,12 @@ def validation_score(errors: Column, warnings: Column, passed: Column | float =
 
 
 def validate_invoices(records: DataFrame) -> DataFrame:
-    """n_items, line_sum, n_errors, n_warnings, is_valid, score and grade of every record. Null items count as none."""
-    items = F.col("items")
-    bad_lines = F.greatest(F.size(check_line_math(items)), F.lit(0))
-    errors = bad_lines + check_total(F.col("subtotal"), F.col("tax"), F.col("total")).cast("int")
-    warnings = check_subtotal(F.col("subtotal"), items).cast("int")
-    out = records.select("doc_id", F.greatest(F.size(items), F.lit(0)).cast("long").alias("n_items"), F.round(line_total_sum(items), 2).alias("line_sum"), errors.cast("long").alias("n_errors"), warnings.cast("long").alias("n_warnings"))
-    score = validation_score(F.col("n_errors"), F.col("n_warnings"))
-    return out.withColumns({"is_valid": F.col("n_errors") == 0, "score": score, "grade": confidence_grade(score)})
+    """records with findings, truth_tests, n_errors, n_warnings, pass_rate, is_valid, score and grade. Null items count as none."""
+    items = F.coalesce(F.col("line_items"), F.array().cast(records.schema["line_items"].dataType))
+    subtotal, tax, total = F.col("subtotal"), F.col("tax"), F.col("total")
+    tested = records.withColumns({"_items": items}).withColumn("truth_tests", truth_rules_invoice(subtotal, tax, total, F.col("_items")))
+    logical = F.concat(check_line_math(F.col("_items")), check_total(subtotal, tax, total), check_subtotal(subtotal, F.col("_items")))
+    found = tested.withColumn("findings", F.concat(logical, truth_to_findings(F.col("truth_tests"))))
+    counted = found.withColumns({"n_errors": severity_count(F.col("findings"), "error"), "n_warnings": severity_count(F.col("findings"), "warning"), "pass_rate": truth_pass_rate(F.col("truth_tests"))})
+    score = validation_score(F.col("n_errors"), F.col("n_warnings"), F.col("pass_rate"))
+    return counted.withColumns({"is_valid": F.col("n_errors") == 0, "score": score}).withColumn("grade", confidence_grade(F.col("score"))).drop("_items")

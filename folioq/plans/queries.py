@@ -6,45 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioq.functions import text as T
-from folioq.operators.validation import validate_invoices
-from folioq.plans import records, texts  # noqa: F401 (registers its queries)
+from folioq.plans import audits, records, texts  # noqa: F401 (registers its queries)
 from folioq.plans.base import ORACLE_SQL, QUERIES, query, read
 from folioq.streaming.rates import stream_rates
 
-def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as invoice records with their line items; tax is what the lines charge."""
-    line = read(spark, sf_dir, "lineitem")
-    item = F.struct(F.col("l_linenumber").alias("pos"), F.col("l_quantity").alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("total"))
-    items = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"), F.sum(F.col("l_extendedprice") * F.col("l_tax")).alias("tax"))
-    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").alias("total"), "o_orderpriority", "o_orderdate")
-    joined = orders.join(items, orders.doc_id == items.l_orderkey, "left")
-    return joined.withColumn("subtotal", F.col("total") - F.col("tax"))
-
-
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text,''), '[\s\x{0B}\x{85}\p{Z}]+'), lambda x: x <> '')"
 
-CHECKED = """WITH i AS (SELECT l_orderkey, count(*) n_items, sum(l_extendedprice*(1-l_discount)) s, sum(l_extendedprice*l_tax) tax,
- count(*) FILTER (abs(l_quantity*(l_extendedprice/l_quantity) - l_extendedprice*(1-l_discount)) > 0.02*greatest(abs(l_quantity*(l_extendedprice/l_quantity)), abs(l_extendedprice*(1-l_discount)))) bad FROM lineitem GROUP BY 1),
-r AS (SELECT o_orderkey doc_id, o_orderpriority, coalesce(n_items,0) n_items, coalesce(s,0) s, coalesce(bad,0) n_errors,
- CASE WHEN o_totalprice-tax <> 0 AND s > 0 AND abs(s-(o_totalprice-tax)) > 0.02*greatest(abs(s),abs(o_totalprice-tax)) THEN 1 ELSE 0 END n_warnings FROM orders LEFT JOIN i ON l_orderkey=o_orderkey),
-v AS (SELECT *, round(least(1.0, 0.55*greatest(0.0, 1/(1+0.4*n_errors)-0.04*n_warnings)+0.45),4) score FROM r) """
-
-
-@query(CHECKED + """SELECT doc_id, CAST(n_items AS BIGINT) n_items, CAST(n_errors AS BIGINT) n_errors, CAST(n_warnings AS BIGINT) n_warnings, n_errors=0 is_valid, score,
- CASE WHEN score>=0.95 THEN 'A+' WHEN score>=0.9 THEN 'A' WHEN score>=0.85 THEN 'B+' WHEN score>=0.8 THEN 'B' WHEN score>=0.75 THEN 'C+' WHEN score>=0.7 THEN 'C' ELSE 'D' END grade FROM v""")
-def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Checks and score of every order as an invoice."""
-    return validate_invoices(invoices(spark, sf_dir)).drop("line_sum")
-
-
-@query(CHECKED + "SELECT o_orderpriority document_type, count(*) n_docs, sum(CASE WHEN n_errors=0 THEN 1 ELSE 0 END)::BIGINT n_valid, round(avg(score),4) mean_score FROM v GROUP BY 1")
-def fleet_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents, valid ones and mean score by type."""
-    records = invoices(spark, sf_dir)
-    report = validate_invoices(records).join(records.select("doc_id", "o_orderpriority"), "doc_id")
-    return report.groupBy(F.col("o_orderpriority").alias("document_type")).agg(F.count("*").alias("n_docs"), F.count_if("is_valid").alias("n_valid"), F.round(F.avg("score"), 4).alias("mean_score"))
-
-
 @query(f"SELECT doc_id, CAST(len({WORDS}) AS BIGINT) n_words, CAST(length(coalesce(text,'')) AS BIGINT) n_text FROM documents")
 def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).alias("n_words"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_text"))
@@ -131,12 +98,6 @@ def type_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", "source")
 
 
-@query(CHECKED + "SELECT doc_id, CAST(n_errors AS BIGINT) n_errors, CAST(n_warnings AS BIGINT) n_warnings FROM v WHERE n_errors + n_warnings > 0")
-def finding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors and warnings of the records that have any."""
-    return validate_invoices(invoices(spark, sf_dir)).filter("n_errors + n_warnings > 0").select("doc_id", "n_errors", "n_warnings")
-
-
 @query("SELECT user_id, count(*) total, count(value) processed, count(*)-count(value) failed, CASE WHEN count(value)=count(*) THEN 'success' ELSE 'partial' END status FROM events GROUP BY 1")
 def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items with and without a value by batch; a batch with a failed item is partial."""
