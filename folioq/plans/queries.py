@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioq.functions import text as T
-from folioq.plans import audits, records, texts  # noqa: F401 (registers its queries)
+from folioq.plans import audits, jsons, records, tables, texts  # noqa: F401 (registers its queries)
 from folioq.plans.base import ORACLE_SQL, QUERIES, query, read
 from folioq.streaming.rates import stream_rates
 
