@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioq.functions import text as T
-from folioq.plans import audits, jsons, records, tables, texts  # noqa: F401 (registers its queries)
+from folioq.plans import audits, catalogues, derived, jsons, records, tables, texts  # noqa: F401 (registers its queries)
 from folioq.plans.base import ORACLE_SQL, QUERIES, query, read
-from folioq.streaming.rates import stream_rates
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text,''), '[\s\x{0B}\x{85}\p{Z}]+'), lambda x: x <> '')"
 
@@ -43,18 +42,6 @@ def extraction_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", F.coalesce("source", F.lit("unknown")).alias("filename"), F.col("quality").cast("double").alias("confidence"))
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
-def missing_input_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without a result."""
-    return read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id")
-
-
-@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 20")
-def page_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second page of twenty, newest first."""
-    return read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").offset(20).limit(20)
-
-
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) k FROM orders) WHERE k=1")
 def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest record of each owner, by a partially aggregated arg-max rather than a window."""
@@ -74,18 +61,6 @@ def stage_timing_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean_value"))
 
 
-@query("SELECT count(*) n_docs, count(*) FILTER (text IS NOT NULL AND length(text)>0) n_success, round(avg(quality),4) accuracy FROM documents LEFT JOIN labels USING (doc_id)")
-def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
-    return joined.agg(F.count("*").alias("n_docs"), F.count_if(F.length("text") > 0).alias("n_success"), F.round(F.avg("quality"), 4).alias("accuracy"))
-
-
-@query("SELECT time_bucket(INTERVAL '5 minutes', ts) window_start, event_type kind, count(*) n, round(avg(value),4) mean_value FROM events GROUP BY 1,2")
-def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five-minute rates; the same function serves a stream."""
-    return stream_rates(read(spark, sf_dir, "events"))
-
-
 @query("SELECT count(*) total FROM orders")
 def total_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows before paging."""
@@ -106,14 +81,6 @@ def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("user_id", "total", "processed", failed.alias("failed"), F.when(failed == 0, "success").otherwise("partial").alias("status"))
 
 
-@query("SELECT source, count(*) n_docs, count(quality) n_labelled, round(avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END), 4) type_match FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
-def label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of matches by source; a document without a label counts as no match."""
-    joined = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
-    match = F.coalesce(F.col("quality") == 1, F.lit(False)).cast("double")
-    return joined.groupBy("source").agg(F.count("*").alias("n_docs"), F.count("quality").alias("n_labelled"), F.round(F.avg(match), 4).alias("type_match"))
-
-
 @query("SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '... [truncated]' ELSE text END shown FROM documents")
 def truncate_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 200 characters of longer texts."""
