@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,14 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the session names; a session without one is refused."""
+    """Use the shared folder that the session names; without one only a single local JVM gets a folder of its own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
+    if not folder and not sc._jsc.sc().isLocal():
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    sc.setCheckpointDir(folder)
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="folioq-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
