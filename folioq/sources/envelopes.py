@@ -23,3 +23,39 @@ def sink_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 def sink_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).csv(path)
+
+
+#: Types of the envelope's rows after a dispatch by suffix.
+FAILED = "Unsupported file type"
+
+
+def scan_csv_wrapped(spark: SparkSession, path: str) -> DataFrame:
+    """(path, record variant): one record per file with its rows as maps of texts and the format it came from."""
+    rows = scan_csv_rows(spark, path)
+    fields = [c for c in rows.columns if c != "path"]
+    grouped = rows.groupBy("path").agg(F.collect_list(F.struct(*fields)).alias("rows"))
+    return grouped.select("path", F.to_variant_object(F.struct("rows", F.lit("csv").alias("_source_format"))).alias("record"))
+
+
+def scan_dispatch(files: DataFrame) -> DataFrame:
+    """(path, record, status, error) of (path, content): JSON by its suffix, CSV as its header and rows, anything else failed."""
+    ext = F.lower(F.regexp_extract("path", r"(\.[^./\\]+)$", 1))
+    lines = F.filter(F.split("content", "\r?\n"), lambda x: x != "")
+    cells = lambda x: F.split(x, ",", -1)
+    rows = F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.map_from_arrays(cells(F.get(lines, 0)), F.transform(F.sequence(F.lit(0), F.size(cells(F.get(lines, 0))) - 1), lambda i: F.get(cells(x), i))))
+    csv = F.to_json(F.struct(rows.alias("rows"), F.lit("csv").alias("_source_format")))
+    record = F.when(ext == ".json", F.try_parse_json("content")).when(ext == ".csv", F.parse_json(csv))
+    error = F.when(~ext.isin(".json", ".csv"), FAILED).when(record.isNull(), "Invalid JSON")
+    return files.select("path", record.alias("record"), F.when(error.isNull(), "success").otherwise("error").alias("status"), error.alias("error"))
+
+
+def batch_extract(inputs: DataFrame, text_col: str = "content") -> DataFrame:
+    """inputs with status, error, length and word_count: an item without text becomes an error row instead of stopping the batch."""
+    bad = F.col(text_col).isNull() | (F.btrim(text_col) == "")
+    words = F.regexp_count(F.coalesce(text_col, F.lit("")), F.lit(r"(?U)\S+")).cast("long")
+    return inputs.withColumns({"status": F.when(bad, "error").otherwise("success"), "error": F.when(bad, "No text"), "length": F.coalesce(F.length(text_col), F.lit(0)).cast("long"), "word_count": words})
+
+
+def sink_reports(reports: DataFrame, path: str, run_ts: str, kind: str = "document_type") -> None:
+    """Append audit reports under their type, with the time of the run."""
+    reports.withColumn("run_ts", F.lit(run_ts)).write.mode("append").partitionBy(kind).parquet(path)
