@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,3 +26,12 @@ def query(sql: str | None = None):
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder of the session; a local session without one gets a folder of its own."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not folder and not sc._jsc.sc().isLocal():
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{folder or tempfile.mkdtemp(prefix='folioq-')}/queries/{uuid.uuid4().hex}"

@@ -16,10 +16,10 @@ def watermarked(events: DataFrame, ts: str, delay: str) -> DataFrame:
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay) if events.isStreaming else events
 
 
-def stream_rates(events: DataFrame, ts: str = "ts", kind: str = "event_type", value: str = "value", window: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
-    """Per kind and window: rows, share of failures (rows without a value) and mean value."""
+def stream_rates(events: DataFrame, ts: str = "ts", kind: str = "event_type", value: str = "value", window: str = "5 minutes", delay: str = "10 minutes", slide: str | None = None) -> DataFrame:
+    """Per kind and window, tumbling or sliding: rows, share of failures (rows without a value) and mean value."""
     late = watermarked(events, ts, delay)
-    grouped = late.groupBy(F.window(ts, window).alias("w"), F.col(kind).alias("kind")).agg(F.count("*").alias("n"), F.round(F.avg(F.col(value).isNull().cast("double")), 4).alias("failed_share"), F.round(F.avg(value), 4).alias("mean_value"))
+    grouped = late.groupBy(F.window(ts, window, slide).alias("w"), F.col(kind).alias("kind")).agg(F.count("*").alias("n"), F.round(F.avg(F.col(value).isNull().cast("double")), 4).alias("failed_share"), F.round(F.avg(value), 4).alias("mean_value"))
     return grouped.select(F.col("w.start").alias("window_start"), "kind", "n", "failed_share", "mean_value")
 
 
