@@ -169,11 +169,11 @@ def label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(labels, "doc_id", "left").join(sizes, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "n_files", F.coalesce(F.col("quality") == 1, F.lit(False)).alias("type_match"))
 
 
-@query("SELECT doc_id, false is_valid, 0.0 score, 'Extraction not found' message FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+@query("SELECT doc_id, false is_valid, CAST(0 AS DOUBLE) score, 'Extraction not found' message FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def missing_input_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A failed report for every document without a result."""
     gone = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left_anti")
-    return gone.select("doc_id", F.lit(False).alias("is_valid"), F.lit(0.0).cast("decimal(2,1)").alias("score"), F.lit("Extraction not found").alias("message"))
+    return gone.select("doc_id", F.lit(False).alias("is_valid"), F.lit(0.0).alias("score"), F.lit("Extraction not found").alias("message"))
 
 
 @query("SELECT count(*) n_files, count(*) FILTER (length(text) > 0) n_success, count(*) FILTER (text IS NULL OR length(text) = 0) n_failed, round(avg(CAST(n_chars AS DOUBLE)) , 4) mean_chars, round(avg(quality), 4) accuracy FROM documents LEFT JOIN labels USING (doc_id)")

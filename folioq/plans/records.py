@@ -110,7 +110,7 @@ ITEMS, TOTAL_AT = spec_of("invoice", "line_items")[0], list(SCHEMAS["invoice"]["
 SUB = spec_of("invoice", "subtotal")[0]
 STATED = f"CASE WHEN {state(SUB)} > 1 THEN (k * 13 + {SUB * 17}) % 1000 / 4.0 ELSE 0 END"
 LINES = f"list_sum(list_transform(range(0, (k + {ITEMS}) % 4), lambda i: (k * 13 + i * 7 + {TOTAL_AT}) % 1000 / 4.0))"
-CONSISTENT = f"CASE WHEN t = {TYPES.index('invoice')} AND NOT {missing('invoice', 'subtotal')} AND {STATED} > 0 AND abs(coalesce({LINES}, 0) - {STATED}) > 0.01 THEN 0.0 ELSE 1.0 END"
+CONSISTENT = f"CAST(CASE WHEN t = {TYPES.index('invoice')} AND NOT {missing('invoice', 'subtotal')} AND {STATED} > 0 AND abs(coalesce({LINES}, 0) - {STATED}) > 0.01 THEN 0.0 ELSE 1.0 END AS DOUBLE)"
 PARTS = f"(SELECT k, t, {COMPLETE} c, {N_VALID} / {N_LEAVES} q, {CONSISTENT} s, (k % 21) / 20.0 o FROM {PEOPLE})"
 
 
@@ -162,7 +162,7 @@ def consistency_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.select(F.col("o_custkey").alias("doc_id"), F.round(C.consistency_resume(F.to_variant_object(F.struct("experience"))), 4).alias("consistency"))
 
 
-@query("SELECT o_orderkey doc_id, CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 5 <> 0 THEN 0.0 ELSE 1.0 END consistency FROM orders")
+@query("SELECT o_orderkey doc_id, CAST(CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 5 <> 0 THEN 0.0 ELSE 1.0 END AS DOUBLE) consistency FROM orders")
 def consistency_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contracts from orders: every fourth takes effect after it expires, every fifth has no expiration."""
     k, day = F.col("o_orderkey"), F.col("o_orderdate")
@@ -177,11 +177,11 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).select("doc_id", C.schema_completeness(k, v).alias("c"), C.data_quality(k, v).alias("q"), C.consistency(k, v).alias("s"), (F.col("doc_id") % 21 / 20).alias("o"))
 
 
-@query(f"SELECT k doc_id, 0.9 field_confidence, round(c, 3) completeness, round(q, 3) data_quality, s consistency, round(o, 3) ocr_quality, round(w, 3) overall, CASE WHEN w >= 0.95 THEN 'A+' WHEN w >= 0.9 THEN 'A' WHEN w >= 0.85 THEN 'B+' WHEN w >= 0.8 THEN 'B' WHEN w >= 0.75 THEN 'C+' WHEN w >= 0.7 THEN 'C' ELSE 'D' END grade FROM (SELECT *, c * 0.35 + q * 0.25 + CAST(0.9 AS DOUBLE) * 0.20 + s * 0.15 + o * 0.05 w FROM {PARTS})")
+@query(f"SELECT k doc_id, CAST(0.9 AS DOUBLE) field_confidence, round(c, 3) completeness, round(q, 3) data_quality, s consistency, round(o, 3) ocr_quality, round(w, 3) overall, CASE WHEN w >= 0.95 THEN 'A+' WHEN w >= 0.9 THEN 'A' WHEN w >= 0.85 THEN 'B+' WHEN w >= 0.8 THEN 'B' WHEN w >= 0.75 THEN 'C+' WHEN w >= 0.7 THEN 'C' ELSE 'D' END grade FROM (SELECT *, c * 0.35 + q * 0.25 + CAST(0.9 AS DOUBLE) * 0.20 + s * 0.15 + o * 0.05 w FROM {PARTS})")
 def comprehensive_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All parts, the overall score and its grade."""
     out = C.comprehensive_score(records(spark, sf_dir).withColumn("ocr", F.col("doc_id") % 21 / 20), ocr="ocr")
-    return out.drop("document_type", "record", "ocr").withColumn("field_confidence", F.col("field_confidence").cast("decimal(2,1)"))
+    return out.drop("document_type", "record", "ocr")
 
 
 @query(f"SELECT k doc_id, CAST(0.9 AS DOUBLE) field_confidence FROM {PEOPLE}")
