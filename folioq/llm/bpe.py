@@ -15,13 +15,14 @@ import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens kept per generation of the cache; two generations are alive at most, about 150 MB a worker.
-CACHE_ENTRIES = 250_000
+#: Pre-tokens kept per generation of the cache; two generations are alive at most, about 60 MB a worker.
+CACHE_ENTRIES = 100_000
 #: Longer pre-tokens are encoded without being kept.
 CACHE_CHARS = 48
 #: Fixed value: white space in the sense of Unicode's White_Space property.
@@ -194,11 +195,18 @@ def encode_texts(docs: DataFrame, path: str, text_col: str = "text", out_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            ids = [bpe.encode(t.as_py() or "") for t in batch.column(at)]
+            ids, ends, decoded = [], [0], []
+            for t in batch.column(at):
+                own = bpe.encode(t.as_py() or "")
+                ids.append(np.array(own, np.int32))  # four bytes a token while the batch is held
+                ends.append(ends[-1] + len(own))
+                if round_trip:
+                    decoded.append(bpe.decode(own))
             columns = list(batch.columns)
             if round_trip:
-                columns[at] = pa.array([bpe.decode(x) for x in ids], pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.list_(pa.int32()))], [*names, out_col])
+                columns[at] = pa.array(decoded, pa.string())
+            flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], [*names, out_col])
 
     return base.mapInArrow(run, schema)
 

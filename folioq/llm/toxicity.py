@@ -6,11 +6,10 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +24,7 @@ MARKED = 5.0
 #: Rejection threshold on the calibrated score.
 THRESHOLD = 0.3
 FEATURES = ["lexicon_density", "lexicon_hits", "lexicon_kinds", "near_second_person", "second_person", "capitals", "capital_words", "exclamations", "punctuation", "digits", "symbols", "obfuscated", "obfuscated_hits", "log_words"]
+VECTOR = "_features"
 #: Second-person words of the four languages of the corpus.
 SECOND_PERSON = frozenset("you your yours du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos ti tus usted ustedes vosotros".split())
 #: Characters that stand for letters in disguised words.
@@ -85,41 +85,40 @@ def learn_lexicon(rows: DataFrame, text_col: str, label_col: str, least: float =
     return frozenset(r[0] for r in counts.filter((F.col("t") > 1) & (excess >= least)).select("word").collect())
 
 
-def with_features(df: DataFrame, text_col: str, lexicon: frozenset[str]) -> DataFrame:
-    """The columns of df other than the text, and one double per feature."""
-    names = [c for c in df.columns if c != text_col]
+def with_features(df: DataFrame, text_col: str, lexicon: frozenset[str], keep_text: bool = False) -> DataFrame:
+    """The columns of df, without the text unless keep_text, and the vector of the text's features as VECTOR."""
     at = df.columns.index(text_col)
-    schema = df.select(*names, *[F.lit(0.0).alias(f) for f in FEATURES]).schema
+    names = [c for c in df.columns if keep_text or c != text_col]
+    schema = df.select(*names, F.lit(None).cast("array<double>").alias(VECTOR)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(t.as_py(), lexicon) for t in batch.column(at)]
-            columns = [pa.array([r[k] for r in rows], pa.float64()) for k in range(len(FEATURES))]
-            yield pa.RecordBatch.from_arrays([c for i, c in enumerate(batch.columns) if i != at] + columns, [*names, *FEATURES])
+            values = np.array([features(t.as_py(), lexicon) for t in batch.column(at)]).ravel()
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(FEATURES))
+            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if keep_text or i != at), pa.ListArray.from_arrays(ends, pa.array(values, pa.float64()))], [*names, VECTOR])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema).withColumn(VECTOR, array_to_vector(VECTOR))
 
 
 class ToxicityModel:
-    """Fitted lexicon, trees and calibration; `known` is None if there were not two classes to learn from."""
+    """Fitted lexicon, trees and calibration; `trees` is None if there were not two classes to learn from."""
 
-    def __init__(self, lexicon: frozenset[str], trees: PipelineModel | None, prior: float) -> None:
+    def __init__(self, lexicon: frozenset[str], trees: GBTClassificationModel | None, prior: float) -> None:
         self.lexicon, self.trees, self.prior = lexicon, trees, prior
 
-    def score(self, df: DataFrame, text_col: str = "text") -> DataFrame:
-        """Columns of df without the text, and `score` between 0 and 1; the prior rate if nothing could be learned."""
+    def score(self, df: DataFrame, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+        """Columns of df, without the text unless keep_text, and `score` between 0 and 1; the prior rate if nothing could be learned."""
+        keep = [c for c in df.columns if keep_text or c != text_col]
         if self.trees is None:
-            return df.drop(text_col).withColumn("score", F.lit(self.prior))
-        keep = [c for c in df.columns if c != text_col]
-        found = raw_probability(self.trees, with_features(df, text_col, self.lexicon))
-        out = self.calibration.transform(found.withColumnRenamed("p", "features"))
+            return df.select(*keep, F.lit(self.prior).alias("score"))
+        out = self.calibration.transform(raw_probability(self.trees, with_features(df, text_col, self.lexicon, keep_text)))
         # the tree score breaks ties inside a step of the calibration without leaving [0, 1]
-        return out.select(*keep, (0.999 * F.col("prediction") + 0.001 * F.col("features")).alias("score"))
+        return out.select(*keep, (0.999 * F.col("_calibrated") + 0.001 * F.col("_p")).alias("score"))
 
 
-def raw_probability(trees: PipelineModel, df: DataFrame) -> DataFrame:
-    keep = [c for c in df.columns if c not in FEATURES]
-    return trees.transform(df).select(*keep, vector_to_array("probability")[1].alias("p"))
+def raw_probability(trees: GBTClassificationModel, df: DataFrame) -> DataFrame:
+    """The columns of df other than the features, and `_p`."""
+    return trees.transform(df).select(*(c for c in df.columns if c != VECTOR), vector_to_array("_probability")[1].alias("_p"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> ToxicityModel:
@@ -145,19 +144,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return ToxicityModel(frozenset(), None, float(positive) / n)
     lexicon = learn_lexicon(rows.filter(~calibrating), "text", "label")
     table = store(with_features(rows, "text", lexicon))
-    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    data = assembler.transform(table.filter(~calibrating)).select("features", "label")
-    gbt = GBTClassifier(maxIter=20, maxDepth=3, stepSize=0.2, minInstancesPerNode=5, seed=7).fit(data)
-    model = ToxicityModel(lexicon, PipelineModel([assembler, gbt]), float(positive) / n)
-    held = raw_probability(model.trees, table.filter(calibrating)).select(F.col("p").alias("features"), "label")
+    gbt = GBTClassifier(featuresCol=VECTOR, maxIter=20, maxDepth=3, stepSize=0.2, minInstancesPerNode=5, seed=7, predictionCol="_predicted").setRawPredictionCol("_raw").setProbabilityCol("_probability")
+    model = ToxicityModel(lexicon, gbt.fit(table.filter(~calibrating).select(F.col(VECTOR), "label")), float(positive) / n)
+    held = raw_probability(model.trees, table.filter(calibrating))
     if held.isEmpty():
-        held = raw_probability(model.trees, table).select(F.col("p").alias("features"), "label")
-    model.calibration = IsotonicRegression(featuresCol="features", labelCol="label").fit(held)
+        held = raw_probability(model.trees, table)
+    model.calibration = IsotonicRegression(featuresCol="_p", labelCol="label", predictionCol="_calibrated").fit(held)
     return model
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that score below the threshold, columns unchanged. Null texts score as empty ones."""
-    model = fit(docs, labels, id_col, text_col)
-    scored = model.score(docs.withColumn("_copy", F.col(text_col).cast("string")), "_copy")
-    return scored.filter(F.col("score") < threshold).select(*docs.columns)
+    names = docs.columns
+    inner = docs.toDF(*(f"c{i}" for i in range(len(names))))  # no name of the table can clash with a column of the model
+    scored = fit(docs, labels, id_col, text_col).score(inner, f"c{names.index(text_col)}", keep_text=True)
+    return scored.filter(F.col("score") < threshold).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
