@@ -186,7 +186,7 @@ def comprehensive_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT k doc_id, CAST(0.9 AS DOUBLE) field_confidence FROM {PEOPLE}")
 def field_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A constant of the reference rule, so no overall score is above 0.98."""
+    """A constant, so no overall score is above 0.98."""
     return records(spark, sf_dir).select("doc_id", F.lit(C.FIELD_CONFIDENCE).alias("field_confidence"))
 
 
