@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioq.llm.common import split_bucket, store, table
 from folioq.llm.licences import oracle_sql as licence_sql
+from folioq.llm.oracles import SPELLING
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -104,6 +105,13 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the more frequent word that each is a variant of."""
+    from folioq.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
     "op2_lm_scoring": op2_lm_scoring,
@@ -115,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scans": op8_license_scans,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_license_scans": licence_sql()}
+ORACLE_SQL: dict[str, str] = {"op8_license_scans": licence_sql(), "op11_spelling_variants": SPELLING}
