@@ -43,3 +43,38 @@ WITH RECURSIVE found AS (
 )
 SELECT rows.*, chain.at AS root FROM rows JOIN chain USING (word) JOIN rows AS last ON chain.at = last.word AND last.form IS NULL
 """
+
+#: Nodes by the joined digests of their turns, subtrees by all pairs of places on the members' paths.
+TRIE = f"""
+WITH own AS MATERIALIZED (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS MATERIALIZED (
+  SELECT c, {crc32_sql(utf8_sql("c::VARCHAR"))}::BIGINT % 4 AS h FROM (SELECT DISTINCT c FROM own)
+), taken AS (
+  SELECT ids.c, lead.i AS p, lead.role, lead.text FROM ids JOIN own AS lead ON lead.c = ids.c - ids.c % 20 AND lead.i < h
+), rebuilt AS (
+  SELECT * FROM taken UNION ALL
+  SELECT own.c, coalesce(n, 0) + own.i - h, role, text FROM own JOIN ids USING (c) LEFT JOIN (SELECT c, count(*) AS n FROM taken GROUP BY c) USING (c) WHERE own.i >= h
+), steps AS (
+  SELECT c, p + 1 AS depth, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words,
+    string_agg(md5(role || chr(0) || text), ',') OVER (PARTITION BY c ORDER BY p) AS path FROM rebuilt
+), members AS MATERIALIZED (
+  SELECT c, depth, words, path, coalesce(lag(path) OVER (PARTITION BY c ORDER BY depth), '') AS parent, max(depth) OVER (PARTITION BY c) AS n FROM steps
+  UNION ALL SELECT ids.c, 0, 0, '', NULL, coalesce(n, 0) FROM ids LEFT JOIN (SELECT c, max(depth) AS n FROM steps GROUP BY c) USING (c)
+), nodes AS MATERIALIZED (
+  SELECT path, any_value(depth) AS depth, any_value(parent) AS parent, min(c) AS conv_id, count(*) AS n_convs, any_value(words) * (count(*) - 1) AS saved,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE depth = n), '')) AS ends_sha256
+  FROM members GROUP BY path
+), children AS (
+  SELECT parent AS path, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent
+), subtrees AS (
+  SELECT DISTINCT a.path, b.path AS below FROM members AS a JOIN members AS b ON a.c = b.c AND a.depth <= b.depth
+), totals AS (
+  SELECT subtrees.path, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves
+  FROM subtrees JOIN nodes ON nodes.path = below LEFT JOIN children ON children.path = below GROUP BY subtrees.path
+)
+SELECT nodes.conv_id, nodes.depth, up.conv_id AS parent_conv_id, nodes.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, nodes.ends_sha256
+FROM nodes LEFT JOIN nodes AS up ON up.path = nodes.parent LEFT JOIN children ON children.path = nodes.path JOIN totals ON totals.path = nodes.path
+"""

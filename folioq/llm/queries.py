@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioq.llm.common import split_bucket, store, table
 from folioq.llm.licences import oracle_sql as licence_sql
-from folioq.llm.oracles import SPELLING
+from folioq.llm.oracles import SPELLING, TRIE
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -112,6 +112,13 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    from folioq.llm.trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
     "op2_lm_scoring": op2_lm_scoring,
@@ -124,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_conversation_trie": op12_conversation_trie,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_license_scans": licence_sql(), "op11_spelling_variants": SPELLING}
+ORACLE_SQL: dict[str, str] = {"op8_license_scans": licence_sql(), "op11_spelling_variants": SPELLING, "op12_conversation_trie": TRIE}
