@@ -78,3 +78,27 @@ WITH own AS MATERIALIZED (
 SELECT nodes.conv_id, nodes.depth, up.conv_id AS parent_conv_id, nodes.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, nodes.ends_sha256
 FROM nodes LEFT JOIN nodes AS up ON up.path = nodes.parent LEFT JOIN children ON children.path = nodes.path JOIN totals ON totals.path = nodes.path
 """
+
+#: Similarity of all sets that share a shingle, components by following the links.
+NEAR_COPIES = """
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sets AS MATERIALIZED (
+  SELECT doc_id, coalesce(list_sort(list_distinct(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)), []) AS s FROM texts
+), classes AS MATERIALIZED (
+  SELECT s, len(s) AS n, row_number() OVER () AS v, min(doc_id) AS least FROM sets WHERE len(s) > 0 GROUP BY s
+), shingles AS MATERIALIZED (
+  SELECT v, n, hash(unnest(s)) AS h FROM classes
+), links AS MATERIALIZED (
+  SELECT a.v AS a, b.v AS b FROM shingles AS a JOIN shingles AS b ON a.h = b.h AND a.v < b.v
+  GROUP BY a.v, b.v, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), near AS MATERIALIZED (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT v, v AS at FROM classes UNION SELECT reach.v, near.b FROM reach JOIN near ON reach.at = near.a
+), known AS (
+  SELECT reach.v, min(least) AS component_id FROM reach JOIN classes ON classes.v = reach.at GROUP BY reach.v
+)
+SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept
+FROM sets LEFT JOIN classes ON classes.s = sets.s LEFT JOIN known USING (v)
+"""

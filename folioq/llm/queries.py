@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioq.llm.common import split_bucket, store, table
 from folioq.llm.licences import oracle_sql as licence_sql
-from folioq.llm.oracles import SPELLING, TRIE
+from folioq.llm.oracles import NEAR_COPIES, SPELLING, TRIE
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -119,6 +119,13 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near copies of every document, by two-word shingles."""
+    from folioq.llm.forest import near_copies
+
+    return near_copies(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
     "op2_lm_scoring": op2_lm_scoring,
@@ -132,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_conversation_trie": op12_conversation_trie,
+    "op13_minhash_forest": op13_minhash_forest,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_license_scans": licence_sql(), "op11_spelling_variants": SPELLING, "op12_conversation_trie": TRIE}
+ORACLE_SQL: dict[str, str] = {"op8_license_scans": licence_sql(), "op11_spelling_variants": SPELLING, "op12_conversation_trie": TRIE, "op13_minhash_forest": NEAR_COPIES}
