@@ -6,8 +6,8 @@ how dense the sets lie. Sets of a similarity of 0.8 share START hashes in some o
 
 In every region of the first orders all sets meet one of them, its hub, and their neighbours by the longest common prefix; what passes the exact
 test is linked. Regions that still hold several components are then compared pair by pair across these, by their whole
-signatures; only pairs that may pass leave the task. No set and no partner is left out of a region, however large: what is too large for a task
-is dealt into tiles.
+signatures: first each set's most likely partners are tried, then, with the sets at hand, every pair that may pass, of which only links leave the
+task. No set and no partner is left out of a region, however large: what is too large for a task is dealt into tiles.
 """
 
 from __future__ import annotations
@@ -21,15 +21,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioq.llm.common import cut, fold, store
+from folioq.llm.common import fold, store
 from folioq.llm.graph import connected_components
 
 WIDTH, SEED = 2, 42
 TREES, DEPTH, START = 32, 8, 5
 #: Sets of a region that is not taken apart further; orders whose regions are linked through hubs first.
 REGION, FIRST = 128, 4
-#: Sets on either side of a tile.
-ASKING, ASKED = 256, 2_048
+#: Sets on either side of a tile, and partners of a set that are tried before all others.
+ASKING, ASKED, NEAREST = 256, 2_048, 4
 #: Of the HASHES minimum hashes, a pair of similarity 0.8 shares fewer than this with a chance of about 1 in 10^6.
 HASHES = TREES * DEPTH
 PLAUSIBLE = round(HASHES * (0.8 - 4.8 * (0.16 / HASHES) ** 0.5))
@@ -96,12 +96,23 @@ def regions(classes: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def linked(a: bytes, b: bytes) -> bool:
+    """Whether two sets have 100 * intersection >= 80 * union, that is 9 * common >= 4 * (n + m)."""
+    both = np.concatenate([np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)])
+    both.sort()
+    return 9 * int((both[1:] == both[:-1]).sum()) >= 4 * len(both)
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= 80 * union, that is 9 * common >= 4 * (n + m)."""
+    """The pairs (a, b) that are linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [linked(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
     left, right = (sets.select(F.col("v").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    return both.filter(9 * common >= 4 * (F.size("of_a") + F.size("of_b"))).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a binary, b binary")
 
 
 def sets_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -110,10 +121,10 @@ def sets_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h = [shingles(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in h], pa.binary()), pa.array([x.view(np.int64) for x in h], pa.list_(pa.int64()))], ["v", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in h], pa.binary()), pa.array([x.tobytes() for x in h], pa.binary())], ["v", "shingles"])
 
     wanted = docs.join(reps.select("id").distinct(), docs["id"].eqNullSafe(reps["id"]), "left_semi").select("text")
-    return wanted.mapInArrow(run, "v binary, shingles array<long>").join(reps.select("v"), "v", "left_semi").groupBy("v").agg(F.first("shingles").alias("shingles"))
+    return wanted.mapInArrow(run, "v binary, shingles binary").join(reps.select("v"), "v", "left_semi").groupBy("v").agg(F.first("shingles").alias("shingles"))
 
 
 def meetings(found: DataFrame) -> DataFrame:
@@ -146,38 +157,91 @@ def open_tiles(found: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFr
     return asked.unionByName(asking).join(classes.select("v", "signature"), "v").select("g", "i", "j", "asks", "t", "v", "n", "root", "signature")
 
 
-def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of different components that share enough minimum hashes, from sorted tiles."""
+class Tile:
+    """The sets of a tile: those that ask, and all that are asked, as a matrix of minimum hashes."""
+
+    def __init__(self, rows: list[tuple]) -> None:
+        self.asking, self.asked = [r for r in rows if r[0]], [r for r in rows if not r[0]]
+        self.t = rows[0][1]
+        self.grid = np.frombuffer(b"".join(r[5] for r in self.asked), np.uint16).reshape(len(self.asked), HASHES)
+        self.n = np.array([r[3] for r in self.asked], np.int64)
+        component: dict[bytes, int] = {}
+        self.component = component
+        self.of = np.array([component.setdefault(r[4], len(component)) for r in self.asked], np.int64)
+
+    def partners(self, row: tuple) -> np.ndarray:
+        """Asked sets of other components that may be linked with the asking one, those that share the most minimum hashes first.
+
+        Whole labels that agree in an earlier order have put both into one region there, so they are left to it.
+        """
+        size, root, s = row[3:6]
+        may = np.flatnonzero((5 * np.minimum(self.n, size) >= 4 * np.maximum(self.n, size)) & (self.of != self.component.get(root, -1)))
+        same = self.grid[may] == np.frombuffer(s, np.uint16)
+        shared = same.sum(axis=1)
+        good = np.flatnonzero(shared >= PLAUSIBLE)
+        good = good[~same[good].reshape(-1, TREES, DEPTH).all(axis=2)[:, : self.t].any(axis=1)]
+        return may[good[np.argsort(-shared[good], kind="stable")]]
+
+
+def tiles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, rows) of every tile that has both sides, from rows sorted by (g, i, j)."""
     key: tuple | None = None
     rows: list[tuple] = []
 
-    def out() -> Iterator[pa.RecordBatch]:
-        asking, asked = [r for r in rows if r[0]], [r for r in rows if not r[0]]
-        if not asking or not asked:
-            return
-        t = rows[0][1]
-        grid = np.frombuffer(b"".join(r[5] for r in asked), np.uint16).reshape(len(asked), HASHES)
-        n = np.array([r[3] for r in asked])
-        names = [r[2] for r in asked]
-        component: dict[bytes, int] = {}
-        of = np.array([component.setdefault(r[4], len(component)) for r in asked])
-        for _, _, v, size, root, s in asking:
-            may = np.flatnonzero((5 * np.minimum(n, size) >= 4 * np.maximum(n, size)) & (of != component.get(root, -1)))
-            same = grid[may] == np.frombuffer(s, np.uint16)
-            good = same.sum(axis=1) >= PLAUSIBLE
-            # whole labels that agree in an earlier order have put both into one region there
-            good[good] = ~same[good].reshape(-1, TREES, DEPTH).all(axis=2)[:, :t].any(axis=1)
-            pairs = [(min(v, names[k]), max(v, names[k])) for k in may[good]]
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*pairs, strict=True)], ["a", "b"])
+    def whole() -> bool:
+        return any(r[0] for r in rows) and not all(r[0] for r in rows)
 
     for batch in batches:
         for g, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (g, i, j) != key:
-                yield from out()
+                if whole():
+                    yield key, rows
                 key, rows = (g, i, j), []
             rows.append(tuple(row))
-    yield from out()
+    if whole():
+        yield key, rows
+
+
+def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of every asking set with the NEAREST partners of its tile."""
+    for _, rows in tiles_of(batches):
+        tile = Tile(rows)
+        pairs = [(min(row[2], v), max(row[2], v)) for row in tile.asking for v in (tile.asked[k][2] for k in tile.partners(row)[:NEAREST])]
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*pairs, strict=True)], ["a", "b"])
+
+
+def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, i, j, asks, v) of the sets of a tile that have a partner there."""
+    for (g, i, j), rows in tiles_of(batches):
+        tile, found = Tile(rows), set()
+        for row in tile.asking:
+            partners = tile.partners(row)
+            if len(partners):
+                found.add((True, row[2]))
+                found.update((False, tile.asked[k][2]) for k in partners)
+        if found:
+            asks, v = zip(*sorted(found), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([g] * len(v), pa.int64()), pa.array([i] * len(v), pa.int32()), pa.array([j] * len(v), pa.int32()), pa.array(asks, pa.bool_()), pa.array(v, pa.binary())], ["g", "i", "j", "asks", "v"])
+
+
+def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) between the flagged sets of a tile, one from each asking set to each component."""
+    for _, rows in tiles_of(batches):
+        tile, links = Tile(rows), []
+        for row in tile.asking:
+            met: set[int] = set()
+            for k in tile.partners(row):
+                other = tile.asked[k]
+                if int(tile.of[k]) not in met and linked(row[6], other[6]):
+                    met.add(int(tile.of[k]))
+                    links.append((min(row[2], other[2]), max(row[2], other[2])))
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*links, strict=True)], ["a", "b"])
+
+
+def sorted_tiles(rows: DataFrame) -> DataFrame:
+    return rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,10 +256,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = store(rows.filter("n > 0").groupBy("v").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature")))
     found = regions(classes)
     sets = store(sets_of(src, classes.join(found.select("v").distinct(), "v", "left_semi").select("v", F.col("rep.id").alias("id"))))
-    links = cut(verified(meetings(found), sets))
-    roots = connected_components(links)
-    dealt = open_tiles(found, classes, roots).repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
-    more = cut(verified(dealt.mapInArrow(plausible, "a binary, b binary").distinct(), sets))
+    links = store(verified(meetings(found), sets))
+    roots = store(connected_components(links))
+    tiles = sorted_tiles(open_tiles(found, classes, roots))
+    links = links.unionByName(store(verified(tiles.mapInArrow(nearest, "a binary, b binary").distinct(), sets)))
+    roots = store(connected_components(links))
+    # what is still apart is compared in full, by the sets themselves; only links leave the tasks
+    tiles = store(open_tiles(found, classes, roots))
+    partners = sorted_tiles(tiles).mapInArrow(flagged, "g long, i int, j int, asks boolean, v binary")
+    asking = tiles.join(partners, ["g", "i", "j", "asks", "v"]).join(sets, "v").select(*tiles.columns, "shingles")
+    more = store(sorted_tiles(asking).mapInArrow(confirmed, "a binary, b binary"))
     if not more.isEmpty():
         roots = connected_components(links.unionByName(more))
     named = classes.join(roots, "v", "left").select("v", "rep", F.coalesce("root", "v").alias("root"))
