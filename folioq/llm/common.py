@@ -45,6 +45,14 @@ def store(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that no column has yet, in whatever case."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def split_bucket(doc_id, n: int):
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

@@ -17,13 +17,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioq.llm.common import fold, store
+from folioq.llm.common import fold, fresh, store
 
 #: Words of test items per automaton (about 1.2 KB each in a worker); a larger benchmark is handled in blocks, one pass each.
 WORDS_PER_AUTOMATON = 100_000
 #: Starts the names of items without an id.
 NAMELESS = "\x00"
-FOUND, FOUND_TYPE = "_found", "struct<starts: array<bigint>, ends: array<bigint>, items: array<string>>"
+FOUND, FOUND_TYPE = "found", "struct<starts: array<bigint>, ends: array<bigint>, items: array<string>>"
 #: Everything outside a-z, 0-9 and non-ASCII separates words (upper case is folded before).
 SEPARATORS = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
@@ -131,26 +131,32 @@ class ItemAutomaton:
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[DataFrame]:
-    """The items as (id, text) in blocks of about WORDS_PER_AUTOMATON words, dealt by a hash; one block is the usual case."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    words = items.agg(F.sum(F.regexp_count("text", F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")))).first()[0] or 0
+    """The items with words as (id, text) in blocks of about WORDS_PER_AUTOMATON words, dealt by a hash; one block is the usual case.
+
+    Items without an id are named by their text and their number among equal texts before they are dealt, so every block knows an item by one name.
+    """
+    given = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("words", F.regexp_count("text", F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"))).filter("words > 0")
+    equal = given.filter("id is null").groupBy("text", "words").agg(F.count("*").alias("n"))
+    numbered = equal.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i"), "text", "words")
+    items = given.filter("id is not null").unionByName(numbered.select(F.concat_ws(":", F.lit(NAMELESS), F.sha2(F.col("text").cast("binary"), 256), "i").alias("id"), "text", "words"))
+    words = items.agg(F.sum("words")).first()[0] or 0
     n = 1 + words // WORDS_PER_AUTOMATON
-    return [items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == i) if n > 1 else items for i in range(n)]
+    return [(items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == i) if n > 1 else items).select("id", "text") for i in range(n)]
 
 
 def automaton(block: DataFrame, window: int) -> ItemAutomaton:
-    """The automaton of a block; items without an id get names of their own, which no digest shows."""
-    rows = sorted((r.id is None, r.id or "", r.text) for r in block.collect())
-    return ItemAutomaton([(f"{NAMELESS}{i}" if bare else name, words_of(text)) for i, (bare, name, text) in enumerate(rows)], window)
+    """The automaton of a block."""
+    return ItemAutomaton([(name, words_of(text)) for name, text in sorted((r.id, r.text) for r in block.collect())], window)
 
 
 def matched(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, item_col: str) -> tuple[DataFrame, Callable[[], Callable]]:
-    """The documents, and what gives a task its function from a text to (words, spans, items).
+    """The documents with a column of findings behind the others, and what gives a task its function from a text to (words, spans, items).
 
     A single block is broadcast: its size is bounded. Of several blocks only one at a time is with the tasks; the documents are
     numbered and stored, matched against the blocks one after another, and get the joined findings as a column.
     """
     blocks = item_blocks(benchmark, item_col, "text")
+    last = fresh(FOUND, docs.columns)
     sc = docs.sparkSession.sparkContext
     if len(blocks) == 1:
         shared = sc.broadcast(automaton(blocks[0], window))
@@ -164,15 +170,16 @@ def matched(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, i
 
             return find
 
-        return docs.withColumn(FOUND, F.lit(None).cast(FOUND_TYPE)), by_automaton
-    numbered = store(docs.withColumn("_row", F.monotonically_increasing_id()))
+        return docs.withColumn(last, F.lit(None).cast(FOUND_TYPE)), by_automaton
+    number = fresh("row", [*docs.columns, last])
+    numbered = store(docs.withColumn(number, F.monotonically_increasing_id()))
     parts = []
     for block in blocks:
         shared = sc.broadcast(automaton(block, window))
-        parts.append(store(numbered.select("_row", F.col(text_col).cast("string").alias("text")).mapInArrow(block_findings(shared), f"_row long, {FOUND} {FOUND_TYPE}")))
+        parts.append(store(numbered.select(F.col(number).alias("row"), F.col(text_col).cast("string").alias("text")).mapInArrow(block_findings(shared), f"row long, {FOUND} {FOUND_TYPE}")))
         shared.destroy()
-    found = reduce(DataFrame.unionByName, parts).groupBy("_row").agg(F.collect_list(FOUND).alias("all"))  # a row a block at most
-    merged = found.select("_row", F.struct(F.flatten("all.starts").alias("starts"), F.flatten("all.ends").alias("ends"), F.flatten("all.items").alias("items")).alias(FOUND))
+    found = reduce(DataFrame.unionByName, parts).groupBy("row").agg(F.collect_list(FOUND).alias("all"))  # a row a block at most
+    merged = found.select(F.col("row").alias(number), F.struct(F.flatten("all.starts").alias("starts"), F.flatten("all.ends").alias("ends"), F.flatten("all.items").alias("items")).alias(last))
 
     def by_column() -> Callable:
         def find(text: str | None, known: dict | None) -> tuple[list[bytes], list[tuple[int, int]], set[str]]:
@@ -180,7 +187,7 @@ def matched(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, i
 
         return find
 
-    return numbered.join(merged, "_row", "left").drop("_row"), by_column
+    return numbered.join(merged, number, "left").drop(number), by_column
 
 
 def block_findings(shared: Broadcast) -> Callable:
@@ -195,7 +202,7 @@ def block_findings(shared: Broadcast) -> Callable:
                     rows.append(row)
                     found.append({"starts": [int(a) for a, _ in spans], "ends": [int(b) for _, b in spans], "items": sorted(items)})
             kind = pa.struct([("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(found, kind)], ["_row", FOUND])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(found, kind)], ["row", FOUND])
 
     return run
 
@@ -273,4 +280,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
             columns[at] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
 
-    return src.select(*names, FOUND).mapInArrow(run, docs.schema)
+    return src.mapInArrow(run, docs.schema)
