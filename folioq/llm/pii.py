@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioq.llm.common import fresh
+
 #: Common first names by gender, and surnames.
 MALE = "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Paul Mark George Peter Hans Karl Klaus Jürgen Wolfgang Stefan Jean Pierre Michel André Philippe Louis José Juan Carlos Luis Miguel Javier Pablo Иван Сергей Дмитрий Алексей".split()
 FEMALE = "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Lisa Nancy Emily Anna Laura Ursula Monika Petra Sabine Renate Marie Nathalie Isabelle Sophie Camille Carmen Josefa Isabel Dolores Pilar Lucía Elena Ольга Наталья Анна Мария".split()
@@ -252,7 +254,8 @@ def with_surrogates(docs: DataFrame, key: str, text_col: str = "text", count_col
     both = once(found, lambda found: F.struct(replaced(found).alias("text"), F.coalesce(F.array_size(found), F.lit(0)).cast("long").alias("n")))
     if count_col is None:
         return docs.withColumn(text_col, both["text"])
-    return docs.withColumn("_both", both).withColumns({text_col: F.col("_both.text"), count_col: F.col("_both.n")}).drop("_both")
+    pair = fresh("both", docs.columns)
+    return docs.withColumn(pair, both).withColumns({text_col: F.col(f"{pair}.text"), count_col: F.col(f"{pair}.n")}).drop(pair)
 
 
 def entity_map(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
