@@ -1,4 +1,4 @@
-"""Near copies by an LSH forest of MinHash signatures over two-word shingles; links are confirmed on whole sets.
+"""Near copies by an LSH forest of MinHash signatures over shingles of words; links are confirmed on whole sets.
 
 Every distinct set has a label in each of TREES orders: DEPTH minimum hashes. Two sets lie in one region of an order as long as their labels
 agree. Regions begin at START hashes; one that holds more than REGION sets is taken apart by the next hash, and so on, so the depth follows
@@ -28,6 +28,8 @@ WIDTH, SEED = 2, 42
 TREES, DEPTH, START = 32, 8, 5
 #: Sets of a region that is not taken apart further; orders whose regions are linked through hubs first.
 REGION, FIRST = 128, 4
+#: Ids (8 bytes each) that are broadcast at most; more of them are joined by a shuffle.
+BROADCAST = 1_000_000
 #: Sets on either side of a tile, and partners of a set that are tried before all others.
 ASKING, ASKED, NEAREST = 256, 2_048, 4
 #: Of the HASHES minimum hashes, a pair of similarity 0.8 shares fewer than this with a chance of about 1 in 10^6.
@@ -35,18 +37,23 @@ HASHES = TREES * DEPTH
 PLAUSIBLE = round(HASHES * (0.8 - 4.8 * (0.16 / HASHES) ** 0.5))
 #: Shingles hashed at a time.
 BLOCK = 1_024
+#: Factors of the words of a run, by place, and of the minimum hashes.
+PLACES = np.random.default_rng(SEED).integers(1, 1 << 63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
 FACTORS = np.random.default_rng(SEED).integers(1, 1 << 31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of the runs of two words; a text of one word is one run, and no words give none."""
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct hashes of the runs of `width` words; a shorter text is one run, and no words give none."""
     words = fold(text).split()
     h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
-    if len(h) > 1:
-        h = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ h[:-1] >> np.uint64(29)) + h[1:] * np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    return np.unique(h ^ h >> np.uint64(32))
+    k = min(len(h), width)
+    n = len(h) - k + 1 if k else 0
+    out = np.full(n, k, np.uint64)
+    for i in range(k):
+        out += h[i : i + n] * PLACES[i]
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return np.unique(out ^ out >> np.uint64(32))
 
 
 def digest(h: np.ndarray) -> bytes:
@@ -63,14 +70,14 @@ def signature(h: np.ndarray) -> bytes:
     return (least >> np.uint32(16)).astype(">u2").tobytes()
 
 
-def described(docs: DataFrame) -> DataFrame:
+def described(docs: DataFrame, width: int) -> DataFrame:
     """(id, v, n, signature) of every row of (id, text): the digest of its set, its size and its minimum hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v, n, s = [], [], []
             for t in batch.column(1):
-                h = shingles(t.as_py())
+                h = shingles(t.as_py(), width)
                 v.append(digest(h))
                 n.append(len(h))
                 s.append(signature(h) if len(h) else None)
@@ -115,15 +122,17 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a binary, b binary")
 
 
-def sets_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(v, shingles) of the sets v of reps (v, id), read from the row that stands for each."""
+def sets_of(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """(v, shingles) of the sets v of reps (v, id), read from the rows that stand for them; up to BROADCAST ids go to the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = [shingles(t.as_py()) for t in batch.column(0)]
+            h = [shingles(t.as_py(), width) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in h], pa.binary()), pa.array([x.tobytes() for x in h], pa.binary())], ["v", "shingles"])
 
-    wanted = docs.join(reps.select("id").distinct(), docs["id"].eqNullSafe(reps["id"]), "left_semi").select("text")
+    ids = reps.select(F.xxhash64("id").alias("k")).distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST else ids
+    wanted = docs.withColumn("k", F.xxhash64("id")).join(ids, "k", "left_semi").select("text")
     return wanted.mapInArrow(run, "v binary, shingles binary").join(reps.select("v"), "v", "left_semi").groupBy("v").agg(F.first("shingles").alias("shingles"))
 
 
@@ -244,18 +253,13 @@ def sorted_tiles(rows: DataFrame) -> DataFrame:
     return rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) per row: the smallest id reachable by links of a similarity of 0.8 or more.
-
-    Rows of one set are one class and linked; null, empty and wordless texts have no set and are linked with nothing, so each is its own
-    component. Rows with a null id link like all others; a component without any id has none. A row is kept if its id is that of its component.
-    Repeated rows are reported each, very long texts are compared whole, other columns are not looked at.
-    """
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = store(described(src))
+def classes_of(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """(id, v, n) of every row of (id, text), and of every set v that isn't empty (v, rep, root): rep (none, id) is the least of its
+    rows by id, rows without one last, and root stands for its component."""
+    rows = store(described(docs, width))
     classes = store(rows.filter("n > 0").groupBy("v").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature")))
     found = regions(classes)
-    sets = store(sets_of(src, classes.join(found.select("v").distinct(), "v", "left_semi").select("v", F.col("rep.id").alias("id"))))
+    sets = store(sets_of(docs, store(classes.join(found.select("v").distinct(), "v", "left_semi").select("v", F.col("rep.id").alias("id"))), width))
     links = store(verified(meetings(found), sets))
     roots = store(connected_components(links))
     tiles = sorted_tiles(open_tiles(found, classes, roots))
@@ -268,7 +272,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     more = store(sorted_tiles(asking).mapInArrow(confirmed, "a binary, b binary"))
     if not more.isEmpty():
         roots = connected_components(links.unionByName(more))
-    named = classes.join(roots, "v", "left").select("v", "rep", F.coalesce("root", "v").alias("root"))
+    return rows.drop("signature"), classes.join(roots, "v", "left").select("v", "rep", F.coalesce("root", "v").alias("root"))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """(id, n_shingles, component_id, kept) per row: the smallest id reachable by links of a similarity of 0.8 or more.
+
+    Rows of one set are one class and linked; null, empty and wordless texts have no set and are linked with nothing, so each is its own
+    component. Rows with a null id link like all others; a component without any id has none. A row is kept if its id is that of its component.
+    Repeated rows are reported each, very long texts are compared whole, other columns are not looked at.
+    """
+    rows, named = classes_of(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), width)
     best = named.groupBy("root").agg(F.min("rep").alias("best"))
     known = named.join(best, "root").select("v", F.col("best.id").alias("component_id"))
     out = rows.join(known, "v", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))

@@ -337,3 +337,30 @@ def test_odd_rows(spark, odd, none):
         assert lengths.context_report(lengths.length_histogram(df, vocabulary()), []).agg({"n_docs": "sum"}).first()[0] == (n or None)
     got = {r.doc_id: r for r in bpe.digest_texts(odd, vocabulary()).collect()}
     assert got[1].n_tokens == got[2].n_tokens == 0 and got[1].ids_sha256 == got[1].decoded_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_nameless_items_count_alike_in_any_blocks(spark, monkeypatch):
+    items = spark.createDataFrame([(None, "one two three"), (None, "four five six"), (None, "four five six"), ("a", "seven eight nine"), (None, ""), ("w", "...")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "x one two three four five six y seven eight nine"), (2, None)], "doc_id long, text string")
+    once = decontaminate.hit_report(docs, items).collect()
+    monkeypatch.setattr(decontaminate, "WORDS_PER_AUTOMATON", 3)
+    assert decontaminate.hit_report(docs, items).collect() == once
+    assert [(r.n_items, r.n_hit) for r in once] == [(4, 9), (0, 0)]
+    assert [r.text for r in decontaminate.decontaminate(docs, items, max_coverage=0.99).collect()] == ["x  y ", None]
+
+
+def test_columns_of_any_name(spark, monkeypatch):
+    """Columns called like the operators' own come through with their values."""
+    from folioq.llm.near_copies import keep_representatives
+
+    kind = "doc_id long, text string, found long, row long, v long, `both` long, id long, n long, root long, best long"
+    docs = spark.createDataFrame([(i, "see four five six at a.b@example.org", *[10 * i + k for k in range(8)]) for i in (1, 2)], kind)
+    items = spark.createDataFrame([("a", "four five six"), ("b", "no such words")], "item_id string, text string")
+    rest = docs.columns[2:]
+    for size in (100_000, 3):
+        monkeypatch.setattr(decontaminate, "WORDS_PER_AUTOMATON", size)
+        out = decontaminate.decontaminate(docs, items)
+        assert out.columns == docs.columns and sorted(r[rest[0]] for r in out.collect()) == [10, 20]
+    assert [tuple(r) for r in keep_representatives(docs).collect()] == [tuple(docs.first())]
+    out = pii.with_surrogates(docs, "k", count_col="n_found")
+    assert [(r.n_found, r.both) for r in out.orderBy("doc_id").collect()] == [(1, 13), (1, 23)]
