@@ -13,18 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioq.functions.values import confidence_grade, parse_date_flexible
-from folioq.registry import REQUIRED, SCHEMAS, leaves
+from folioq.functions.variants import at, filled, text_of, walk
+from folioq.registry import REQUIRED, SCHEMAS
 
 #: Weights of the overall score, and the confidence of a field.
 WEIGHTS = {"completeness": 0.35, "data_quality": 0.25, "field_confidence": 0.20, "consistency": 0.15, "ocr_quality": 0.05}
 FIELD_CONFIDENCE = 0.9
 
 
-def at(record: Column, path: str) -> Column:
-    """The value at a dot path as a variant; null only if a key is missing."""
-    return F.try_variant_get(record, "$." + path, "variant")
-
-
 def text_at(record: Column, path: str) -> Column:
     """The value as text; null for a missing key and for JSON null."""
     return F.try_variant_get(record, "$." + path, "string")
@@ -73,29 +69,16 @@ def schema_completeness(kind: Column, record: Column) -> Column:
     return required_ratio(kind, record, has_content, 1.0)
 
 
-def leaf_counts(kind: Column, record: Column) -> Column:
-    """(n_leaves, n_valid) over the keys that are there: a list is one leaf, valid if it isn't empty; an open map has a leaf per entry."""
-
-    def counts(t: str) -> Column:
-        n, valid = [], []
-        for path, spec in leaves(SCHEMAS[t]):
-            p = ".".join(path)
-            if isinstance(spec, str) and spec.startswith("map"):
-                entries = F.map_values(F.try_variant_get(record, "$." + p, "map<string,string>"))
-                n.append(F.when(has_key(record, p), F.coalesce(F.array_size(entries), F.lit(1))).otherwise(0))
-                valid.append(F.coalesce(F.array_size(F.filter(entries, lambda v: F.coalesce(F.btrim(v) != "", F.lit(False)))), F.lit(0)))
-            else:
-                n.append(has_key(record, p).cast("int"))
-                filled = has_content(record, p)
-                valid.append((filled & (text_at(record, p) != "[]") if isinstance(spec, list) else filled).cast("int"))
-        return F.struct(reduce(lambda a, b: a + b, n).alias("n_leaves"), reduce(lambda a, b: a + b, valid).alias("n_valid"))
+def leaf_counts(record: Column) -> Column:
+    """(n_leaves, n_valid) of a record as it is, registered or not: a list is one leaf, valid if it isn't empty."""
+    flags = F.transform(walk(record), lambda e: filled(e["value"]))
+    counted = F.transform(F.array(flags), lambda x: F.struct(F.size(x).alias("n_leaves"), F.size(F.filter(x, lambda f: f)).alias("n_valid")))
+    return F.element_at(counted, 1)
 
-    return by_type(kind, counts, F.struct(F.lit(0).alias("n_leaves"), F.lit(0).alias("n_valid")))
 
-
-def data_quality(kind: Column, record: Column) -> Column:
+def data_quality(record: Column) -> Column:
     """Share of valid leaves; 0 for a record without any."""
-    return F.element_at(F.transform(F.array(leaf_counts(kind, record)), lambda c: F.coalesce(F.try_divide(c["n_valid"], c["n_leaves"]), F.lit(0.0))), 1)
+    return F.element_at(F.transform(F.array(leaf_counts(record)), lambda c: F.coalesce(F.try_divide(c["n_valid"], c["n_leaves"]), F.lit(0.0))), 1)
 
 
 def consistency_invoice(record: Column) -> Column:
@@ -131,7 +114,7 @@ def comprehensive_score(records: DataFrame, kind: str = "document_type", record:
     ocr names a column with the share of the OCR confidence; without one, or where it is null, it counts as 1.
     """
     k, v = F.col(kind), F.col(record)
-    parts = {"completeness": schema_completeness(k, v), "data_quality": data_quality(k, v), "field_confidence": F.lit(FIELD_CONFIDENCE), "consistency": consistency(k, v), "ocr_quality": F.coalesce(F.col(ocr), F.lit(1.0)) if ocr else F.lit(1.0)}
+    parts = {"completeness": schema_completeness(k, v), "data_quality": data_quality(v), "field_confidence": F.lit(FIELD_CONFIDENCE), "consistency": consistency(k, v), "ocr_quality": F.coalesce(F.col(ocr), F.lit(1.0)) if ocr else F.lit(1.0)}
     whole = reduce(lambda a, b: a + b, [F.col(f"_{p}") * w for p, w in WEIGHTS.items()])
     out = records.withColumns({f"_{p}": c for p, c in parts.items()}).withColumn("_whole", whole)
     shown = {p: F.round(F.col(f"_{p}"), 3) for p in parts}
@@ -171,11 +154,6 @@ def required_field_expand(records: DataFrame, id_col: str = "doc_id", kind: str
     return records.select(id_col, F.inline(rows))
 
 
-def walk_leaves(kind: Column, record: Column) -> Column:
-    """Array of (path, value) of every leaf whose key is there, in the order of the schema; lists stay JSON."""
-
-    def found(t: str) -> Column:
-        paths = [".".join(p) for p, _ in leaves(SCHEMAS[t])]
-        return F.array_compact(F.array(*[F.when(has_key(record, p), F.struct(F.lit(p).alias("path"), text_at(record, p).alias("value"))) for p in paths]))
-
-    return by_type(kind, found, F.array().cast("array<struct<path: string, value: string>>"))
+def walk_leaves(record: Column) -> Column:
+    """Array of (path, value) of every leaf that is there, at any depth and for any type; lists are one leaf, as JSON."""
+    return F.transform(walk(record), lambda e: F.struct(e["path"].alias("path"), text_of(e["value"]).alias("value")))

@@ -106,10 +106,10 @@ def test_presence_rules(spark):
     """A missing key, a null, a blank text and an empty list under each rule."""
     k, v = F.col("document_type"), F.col("record")
     data = {"bank_name": None, "account_holder": "  ", "transactions": []}  # account_number is missing
-    r = record(spark, "Bank_Statement", data).select(scoring.validate_required(k, v).alias("m"), scoring.extraction_confidence(k, v).alias("e"), scoring.schema_completeness(k, v).alias("c"), scoring.leaf_counts(k, v).alias("l")).first()
+    r = record(spark, "Bank_Statement", data).select(scoring.validate_required(k, v).alias("m"), scoring.extraction_confidence(k, v).alias("e"), scoring.schema_completeness(k, v).alias("c"), scoring.leaf_counts(v).alias("l")).first()
     assert r.m == ["Missing required field: account_number"] and r.e == 0.5 and r.c == 0.25 and tuple(r.l) == (3, 0)
-    r = record(spark, "memo", {"x": 1}).select(scoring.validate_required(k, v).alias("m"), scoring.extraction_confidence(k, v).alias("e"), scoring.schema_completeness(k, v).alias("c"), scoring.data_quality(k, v).alias("q")).first()
-    assert (r.m, r.e, r.c, r.q) == ([], 0.0, 1.0, 0.0)
+    r = record(spark, "memo", {"x": 1}).select(scoring.validate_required(k, v).alias("m"), scoring.extraction_confidence(k, v).alias("e"), scoring.schema_completeness(k, v).alias("c"), scoring.data_quality(v).alias("q")).first()
+    assert (r.m, r.e, r.c, r.q) == ([], 0.0, 1.0, 1.0)
 
 
 def test_overall_score(spark):
@@ -235,3 +235,32 @@ def test_stream_validate(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"doc_id": "1", "subtotal": 100, "tax": 10, "total": 500, "line_items": []}\n{"doc_id": "2"}\n')
     got = {r.doc_id: r for r in run_stream(spark, rates.stream_validate(spark, str(tmp_path)), "audits_out", "append")}
     assert not got["1"].is_valid and got["2"].is_valid and math.isclose(got["2"].score, 1.0)
+
+
+def test_open_leaves_match_brute_force(spark):
+    """Leaves of nested records with any keys, scalars in place of objects, and types that nobody registered."""
+    from folioq.functions import variants
+
+    def leaves_of(value, path=""):
+        if isinstance(value, dict):
+            return [x for k, v in value.items() for x in leaves_of(v, f"{path}.{k}" if path else k)]
+        return [(path, bool(value) if isinstance(value, list) else value is not None and bool(str(value).strip()))]
+
+    def opened(value, path=""):
+        parts = value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else None
+        return [path] if parts is None else [x for k, v in parts for x in opened(v, f"{path}.{k}" if path else str(k))]
+
+    deep: dict = {"end": 1}
+    for i in range(12):
+        deep = {f"d{i}": deep, "t": 'a "quoted{" [text'}
+    data = [{"invoice_number": "1", "extra": "", "other": None, "vendor": "ACME"}, {"x": 1, "y": ""}, {"vendor": {"name": {"first": " \u00a0 ", "last": "b"}}, "l": [], "m": [[{"a": [1, {"b": {}}]}], 2], "o": {}}, {}, [], "text", 5, None, deep, {"f": False, "z": 0, "n": [None]}]
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(data)], "i int, j string").withColumn("record", F.parse_json("j"))
+    rows = df.select("i", scoring.leaf_counts(F.col("record")).alias("c"), scoring.data_quality(F.col("record")).alias("q"), scoring.walk_leaves(F.col("record")).alias("w"), variants.walk(F.col("record"), lists=True)["path"].alias("p")).orderBy("i").collect()
+    for r, d in zip(rows, data, strict=True):
+        want = leaves_of(d)
+        assert tuple(r.c) == (len(want), sum(ok for _, ok in want))
+        assert r.q == (sum(ok for _, ok in want) / len(want) if want else 0.0)
+        assert sorted(x.path for x in r.w) == sorted(p for p, _ in want)
+        assert sorted(r.p) == sorted(opened(d))
+    assert df.limit(0).select(scoring.leaf_counts(F.col("record"))).collect() == []
+    assert spark.createDataFrame([(None,)], "j string").select(scoring.data_quality(F.parse_json("j")).alias("q")).first().q == 0.0
