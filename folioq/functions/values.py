@@ -45,22 +45,41 @@ def normalise_phone(raw: Column) -> Column:
     return F.when(bare.rlike(r"^[6-9][\p{Nd}+]{9}$"), F.concat(F.lit("+91"), bare)).when(bare == "", raw).otherwise(bare)
 
 
+def laid_out(text: Column) -> Column:
+    """The date of a text in the first of DATE_FORMATS that fits. Separators and letters leave one layout to try, so a miss costs one exception at most."""
+    read = lambda layout: F.try_to_date(text, layout)
+    month_second = text.rlike(r"^\d{1,2}[/-](0?[1-9]|1[0-2])[/-]")
+    short = text.rlike(r"(?U)^(\d+ )?\p{L}{1,3}[ ,]")
+    named = lambda long, brief: F.when(short, read(brief)).otherwise(read(long))
+    return (
+        F.when(text.rlike(r"^\d{4,}/"), read("yyyy/M/d"))
+        .when(text.contains("/"), F.when(month_second, read("d/M/yyyy")).otherwise(read("M/d/yyyy")))
+        .when(text.contains("-"), F.when(month_second, read("d-M-yyyy")).otherwise(read("M-d-yyyy")))
+        .when(text.contains("."), read("d.M.yyyy"))
+        .when(text.rlike(r"^\p{L}"), named("MMMM d, yyyy", "MMM d, yyyy"))
+        .when(text.contains(","), named("d MMMM, yyyy", "d MMM, yyyy"))
+        .when(text.contains(" "), named("d MMMM yyyy", "d MMM yyyy"))
+    )
+
+
 def parse_date_iso(text: Column) -> Column:
     """ISO text as it is, else the first layout that fits, as yyyy-MM-dd; null if none does. Outer blanks don't count."""
-    bare = stripped(text)
-    found = F.coalesce(*[F.try_to_date(bare, f) for f in DATE_FORMATS])
-    return F.when(bare.rlike(r"^\d{4}-\d{2}-\d{2}$"), bare).otherwise(F.date_format(found, "yyyy-MM-dd"))
+    read = lambda bare: F.when(bare.rlike(r"^\d{4}-\d{2}-\d{2}$"), bare).otherwise(F.date_format(laid_out(bare), "yyyy-MM-dd"))
+    return F.element_at(F.transform(F.array(stripped(text)), read), 1)
 
 
 def parse_date_flexible(text: Column) -> Column:
     """A date from many layouts, two-digit years (69 to 99 are 19xx), months and years included; null for an open end."""
-    bare = stripped(text)
-    dashed = F.translate(bare, "/.", "--")
-    short = F.regexp_extract(dashed, r"^(\d{1,2}-\d{1,2})-(\d{2})$", 2)
-    long = F.when(short != "", F.concat(F.regexp_extract(dashed, r"^(\d{1,2}-\d{1,2})-", 1), F.when(short >= "69", "-19").otherwise("-20"), short)).otherwise(dashed)
-    days = [F.try_to_date(long, f) for f in LOOSE_FORMATS]
-    months = [F.trunc(F.try_to_date(dashed, f), "month") for f in MONTH_FORMATS]
-    return F.when(~F.lower(bare).isin(*OPEN_ENDED), F.coalesce(*days, *months))
+    once = lambda value, of: F.element_at(F.transform(F.array(value), of), 1)
+    century = lambda year: F.when(year >= "69", "-19").otherwise("-20")
+
+    def read(dashed: Column) -> Column:
+        short = F.regexp_extract(dashed, r"^(\d{1,2}-\d{1,2})-(\d{2})$", 2)
+        long = F.when(short != "", F.concat(F.regexp_extract(dashed, r"^(\d{1,2}-\d{1,2})-", 1), century(short), short)).otherwise(dashed)
+        days = once(long, lambda x: F.coalesce(*[F.try_to_date(x, f) for f in LOOSE_FORMATS]))
+        return F.coalesce(days, *[F.trunc(F.try_to_date(dashed, f), "month") for f in MONTH_FORMATS])
+
+    return once(F.translate(stripped(text), "/.", "--"), lambda dashed: F.when(~F.lower(dashed).isin(*OPEN_ENDED), read(dashed)))
 
 
 def confidence_grade(score: Column) -> Column:

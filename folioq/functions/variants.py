@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ def text_of(value: Column) -> Column:
     return F.try_variant_get(value, "$", "string")
 
 
+def bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value) with the value written and evaluated once."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def shape(value: Column) -> Column:
     """OBJECT, ARRAY, STRING, VOID, BOOLEAN or the name of a number's type."""
     return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
@@ -38,19 +45,22 @@ def pick(value: Column, *paths: str) -> Column:
     """The first truthy one of the values at the paths, else the last as it is."""
     out = at(value, paths[-1])
     for path in reversed(paths[:-1]):
-        own = at(value, path)
-        out = F.when(truthy(own), own).otherwise(out)
+        out = first_of(at(value, path), out)
     return out
 
 
+def first_of(own: Column, other: Column) -> Column:
+    return bound(own, lambda x: F.when(truthy(x), x).otherwise(other))
+
+
 def amount(value: Column) -> Column:
     """A number, or a text that is one once signs of currency, commas and blanks are gone."""
-    return F.when(shape(value).isin("STRING"), to_float(text_of(value))).otherwise(F.try_variant_get(value, "$", "double"))
+    return bound(value, lambda x: F.when(shape(x) == "STRING", to_float(text_of(x))).otherwise(F.try_variant_get(x, "$", "double")))
 
 
 def elements(value: Column) -> Column:
     """The elements of a list; none for anything else."""
-    return F.coalesce(F.when(shape(value) == "ARRAY", F.try_variant_get(value, "$", "array<variant>")), F.array().cast("array<variant>"))
+    return bound(value, lambda x: F.coalesce(F.when(shape(x) == "ARRAY", F.try_variant_get(x, "$", "array<variant>")), F.array().cast("array<variant>")))
 
 
 def depth_bound(record: Column, lists: bool) -> Column:

@@ -6,6 +6,8 @@ first, then phone, then amount. Objects and lists are followed; a change in a li
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructType
@@ -35,30 +37,43 @@ def new_amount(x: Column) -> Column:
 RULES = ((DATE_TOKENS, new_date, DATE_RULE), (PHONE_TOKENS, new_phone, PHONE_RULE), (AMOUNT_TOKENS, new_amount, AMOUNT_RULE))
 
 
-def rewritten(kind: DataType, value: Column, path: Column, key: str) -> tuple[Column, list[Column]]:
-    """The value in its new form and the arrays of changes in it, children first."""
+def rules_of(key: str) -> list[tuple[Callable[[Column], Column], str]]:
+    return [(rule, name) for tokens, rule, name in RULES if any(t in key.lower() for t in tokens)]
+
+
+def rewritten(kind: DataType, value: Column, key: str) -> Column:
+    """The value in its new form."""
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*[rewritten(f.dataType, value[f.name], f.name).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: rewritten(kind.elementType, x, ""))
+    for rule, _ in rules_of(key) if isinstance(kind, StringType) else []:
+        value = rule(value)
+    return value
+
+
+def differences(kind: DataType, old: Column, new: Column, path: Column | None, key: str) -> list[Column]:
+    """The arrays of changes that lead from a value to its new form, children first. Where several rules meet in one key, its steps are made again."""
     if isinstance(kind, StructType):
-        fields, changes = [], []
-        for f in kind.fields:
-            at = F.concat(path, F.lit("." + f.name)) if path is not None else F.lit(f.name)
-            new, sub = rewritten(f.dataType, value[f.name], at, f.name)
-            fields.append(new.alias(f.name))
-            changes += sub
-        return F.when(value.isNotNull(), F.struct(*fields)), changes
+        at = lambda f: F.concat(path, F.lit("." + f)) if path is not None else F.lit(f)
+        return [c for f in kind.fields for c in differences(f.dataType, old[f.name], new[f.name], at(f.name), f.name)]
     if isinstance(kind, ArrayType):
-        at = lambda i: F.concat(path, F.lit("."), i.cast("string"))
-        new = F.transform(value, lambda x, i: rewritten(kind.elementType, x, at(i), "")[0])
-        log = F.flatten(F.transform(value, lambda x, i: joined(rewritten(kind.elementType, x, at(i), "")[1])))
-        return new, [F.coalesce(log, F.array().cast(CHANGE))]
-    changes = []
-    if isinstance(kind, StringType):
-        for tokens, rule, name in RULES:
-            if any(t in key.lower() for t in tokens):
-                new = rule(value)
-                entry = F.struct(path.alias("field"), value.alias("original_value"), new.alias("normalised_value"), F.lit(name).alias("rule_applied"))
-                changes.append(F.when(F.coalesce(new != value, F.lit(False)), F.array(entry)).otherwise(F.array().cast(CHANGE)))
-                value = new
-    return value, changes
+        inside = lambda x, i: joined(differences(kind.elementType, x, F.get(new, i), F.concat(path, F.lit("."), i.cast("string")), ""))
+        return [F.coalesce(F.flatten(F.transform(old, inside)), F.array().cast(CHANGE))] if holds_rules(kind.elementType) else []
+    found, rules = [], rules_of(key) if isinstance(kind, StringType) else []
+    for n, (rule, name) in enumerate(rules):
+        then = new if n == len(rules) - 1 else rule(old)
+        entry = F.struct(path.alias("field"), old.alias("original_value"), then.alias("normalised_value"), F.lit(name).alias("rule_applied"))
+        found.append(F.when(F.coalesce(then != old, F.lit(False)), F.array(entry)).otherwise(F.array().cast(CHANGE)))
+        old = then
+    return found
+
+
+def holds_rules(kind: DataType, key: str = "") -> bool:
+    """Whether anything in a value of this type can change."""
+    if isinstance(kind, StructType):
+        return any(holds_rules(f.dataType, f.name) for f in kind.fields)
+    return holds_rules(kind.elementType) if isinstance(kind, ArrayType) else isinstance(kind, StringType) and bool(rules_of(key))
 
 
 def joined(changes: list[Column]) -> Column:
@@ -67,5 +82,8 @@ def joined(changes: list[Column]) -> Column:
 
 def normalise(df: DataFrame, record: str, changes: str = "changes") -> DataFrame:
     """df with the record in its new form and the array of its changes. A null record stays null and has none."""
-    new, log = rewritten(df.schema[record].dataType, F.col(record), None, "")
-    return df.withColumns({record: new, changes: joined(log)})
+    kind, new = df.schema[record].dataType, "rewritten"
+    while new in df.columns:
+        new += "_"
+    out = df.withColumn(new, rewritten(kind, F.col(record), ""))
+    return out.withColumn(changes, joined(differences(kind, F.col(record), F.col(new), None, ""))).withColumn(record, F.col(new)).drop(new)

@@ -108,16 +108,16 @@ TRIED = ("aadhar_card", "pan_card", "passport", "gst_certificate", "utility_bill
 @query("""WITH c AS (SELECT c_custkey k, c_custkey % 8 t, c_custkey % 5 = 0 bad FROM customer)
 SELECT k doc_id, 'uid_number_format' test_name, NOT bad passed FROM c WHERE t = 0 UNION ALL SELECT k, 'dob_in_past', NOT bad FROM c WHERE t IN (0, 1, 2) UNION ALL SELECT k, 'name_present', true FROM c WHERE t = 0
 UNION ALL SELECT k, 'pan_number_format', NOT bad FROM c WHERE t = 1 UNION ALL SELECT k, 'expiry_date_after_issue_date', NOT bad FROM c WHERE t = 2 UNION ALL SELECT k, 'passport_number_present', NOT bad FROM c WHERE t = 2
-UNION ALL SELECT k, 'gstin_format', NOT bad FROM c WHERE t = 3 UNION ALL SELECT k, 'gstin_format', NOT bad FROM c WHERE t = 3 UNION ALL SELECT k, 'units', NOT bad FROM c WHERE t = 4
+UNION ALL SELECT k, 'gstin_format', NOT bad FROM c WHERE t = 3 UNION ALL SELECT k, 'gstin_state_code', NOT bad FROM c WHERE t = 3 UNION ALL SELECT k, 'address_present', NOT bad FROM c WHERE t = 0 UNION ALL SELECT k, 'units', NOT bad FROM c WHERE t = 4
 UNION ALL SELECT k, 'expiration_date_after_effective_date', NOT bad FROM c WHERE t = 5 UNION ALL SELECT k, 'parties_not_empty', NOT bad FROM c WHERE t = 5 UNION ALL SELECT k, 'area_positive', NOT bad FROM c WHERE t = 6 UNION ALL SELECT k, 'owners_not_empty', true FROM c WHERE t = 6""")
 def truth_rules_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Truth tests of identity cards, certificates, bills, contracts and land records; every fifth record breaks its rules."""
     good = {
-        "aadhar_card": '{"uid_number": "1234 5678 9012", "dob": "01/02/1990", "name": "A"}', "pan_card": '{"pan_number": "ABCPE1234F", "dob": "1990"}', "passport": '{"issue_date": "2020-01-01", "expiry_date": "2030-01-01", "dob": "1990-05-05", "passport_number": "K1"}',
+        "aadhar_card": '{"uid_number": "1234 5678 9012", "dob": "01/02/1990", "name": "A", "address": {"state": "Goa"}}', "pan_card": '{"pan_number": "ABCPE1234F", "dob": "1990"}', "passport": '{"issue_date": "2020-01-01", "expiry_date": "2030-01-01", "dob": "1990-05-05", "passport_number": "K1"}',
         "gst_certificate": '{"gstin": "27ABCDE1234F1Z5"}', "utility_bill": '{"previous_reading": 10, "current_reading": 25.5, "units_consumed": 15.5}', "contract": '{"effective_date": "2020-01-01", "expiration_date": "31/12/2020", "parties": [{"name": "A"}]}', "land_record": '{"total_area": {"value": 2.5}, "owners": [1]}', "memo": "{}",
     }
     bad = {
-        "aadhar_card": '{"uid_number": "1234", "dob": "01/02/2990", "name": "A"}', "pan_card": '{"pan_number": "AB1234", "dob": "2990"}', "passport": '{"issue_date": "2030-01-01", "expiry_date": "2020-01-01", "dob": "2990-05-05", "passport_number": " "}',
+        "aadhar_card": '{"uid_number": "1234", "dob": "01/02/2990", "name": "A", "address": {"state": " "}}', "pan_card": '{"pan_number": "AB1234", "dob": "2990"}', "passport": '{"issue_date": "2030-01-01", "expiry_date": "2020-01-01", "dob": "2990-05-05", "passport_number": " "}',
         "gst_certificate": '{"gstin": "00X"}', "utility_bill": '{"previous_reading": 10, "current_reading": 25, "units_consumed": 99}', "contract": '{"effective_date": "2021-01-01", "expiration_date": "31/12/2020", "parties": []}', "land_record": '{"total_area": {"value": 0}, "owners": [1]}', "memo": "{}",
     }
     k = F.col("c_custkey")

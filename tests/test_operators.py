@@ -264,3 +264,36 @@ def test_open_leaves_match_brute_force(spark):
         assert sorted(r.p) == sorted(opened(d))
     assert df.limit(0).select(scoring.leaf_counts(F.col("record"))).collect() == []
     assert spark.createDataFrame([(None,)], "j string").select(scoring.data_quality(F.parse_json("j")).alias("q")).first().q == 0.0
+
+
+def test_amounts_in_words_round_trip(spark):
+    """Numbers said in words, up to 99,99,99,999, and texts that are none."""
+    from folioq.functions.words import TENS, UNITS, amount_in_words
+
+    def say(n):
+        if n < 20:
+            return UNITS[n]
+        if n < 100:
+            return TENS[n // 10 - 2] + (f"-{UNITS[n % 10]}" if n % 10 else "")
+        if n < 1000:
+            return f"{UNITS[n // 100]} hundred" + (f" and {say(n % 100)}" if n % 100 else "")
+        size, name = next((s, w) for s, w in ((10**7, "crore"), (10**5, "lakh"), (10**3, "thousand")) if n >= s)
+        return f"{say(n // size)} {name}" + (f" {say(n % size)}" if n % size else "")
+
+    numbers = [*range(1200), *(n * 7919 % 999_999_999 for n in range(1, 999_999_999, 777_777)), 999_999_999]
+    df = spark.createDataFrame([(n, f"Rupees {say(n).title()} Only") for n in numbers], "n long, t string")
+    assert df.filter(~F.coalesce(amount_in_words(F.col("t")) == F.col("n"), F.lit(False))).count() == 0
+    odd = spark.createDataFrame([("two thousand crore",), ("Five Hundred Rupees and Twenty-Five Paise",), ("fifty bananas",), ("only",), (None,), ("",)], "t string")
+    assert [r.x for r in odd.select(amount_in_words(F.col("t")).alias("x")).collect()] == [2e10, 500.25, None, None, None, None]
+
+
+def test_audit_takes_what_comes(spark):
+    """Nulls, records that are no objects, unknown types, clashing names, an empty table."""
+    from folioq.operators.audit import audit
+
+    rows = [(1, None, None), (2, "invoice", "[1]"), (3, None, '{"subtotal": "a", "tax": [], "total": {}}'), (4, "INVOICE", '{"line_items": "none", "items": {"a": 1}, "subtotal": null}'), (5, "resume", '{"education": [null, "x", {"graduation_date": 2099}], "experience": 5}')]
+    df = spark.createDataFrame(rows, "doc_id int, document_type string, j string").select("doc_id", "document_type", F.parse_json("j").alias("record"), F.lit("kept").alias("report"), F.lit(1).alias("findings"))
+    out = audit(df, F.to_date(F.lit("2024-06-15"))).orderBy("doc_id").collect()
+    assert [(r.n_errors, r.n_warnings, len(r.truth_tests), r.changes, r.report) for r in out] == [(0, 0, 0, [], "kept")] * 4 + [(0, 2, 1, [], "kept")]
+    assert [r.score for r in out] == [1.0] * 4 + [0.506]
+    assert audit(df.limit(0), F.to_date(F.lit("2024-06-15"))).count() == 0
