@@ -69,18 +69,18 @@ def language_name(code: Column) -> Column:
 #: Page markers, with what an OCR marker tells.
 PAGE_MARK = r"\n?--- Page \d+[^\n]*---\n?"
 PAGE_HEAD = r"--- Page (\d+)(?: \(Language: ([^,]*), OCR Confidence: ([0-9.]+)%, Engine: ([^)]*)\))? ---"
-#: Formats of identifiers and common values, each with what may not stand before and after it.
+#: Formats of identifiers and common values. What may not stand beside a value is looked at, not taken, so that values may follow each other closely.
 IDENTIFIERS = {
-    "gstin": r"(?:^|[^A-Z0-9])([0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][1-9A-Z]Z[0-9A-Z])(?:$|[^A-Z0-9])",
-    "pan": r"(?:^|[^A-Z0-9])([A-Z]{5}[0-9]{4}[A-Z])(?:$|[^A-Z0-9])",
-    "uid": r"(?:^|[^0-9-])([0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4})(?:$|[^0-9-])",
-    "ifsc": r"(?:^|[^A-Z0-9])([A-Z]{4}0[A-Z0-9]{6})(?:$|[^A-Z0-9])",
-    "passport": r"(?:^|[^A-Z0-9])([A-PR-WY][0-9]{7})(?:$|[^0-9])",
-    "dl": r"(?:^|[^A-Z0-9])([A-Z]{2}[0-9]{2}[ -]?[0-9]{11})(?:$|[^0-9])",
-    "email": r"([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z0-9.-]*[A-Za-z])",
-    "phone": r"([+][0-9]{1,3} ?[(]?[0-9]{3}[)]? ?[0-9]{3}-[0-9]{4})",
-    "amount": r"([₹$€£] ?[0-9][0-9,]*(?:[.][0-9]+)?)",
-    "date": r"(?:^|[^0-9])([0-9]{4}-[0-9]{2}-[0-9]{2})(?:$|[^0-9])",
+    "gstin": r"(?<![A-Z0-9])[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][1-9A-Z]Z[0-9A-Z](?![A-Z0-9])",
+    "pan": r"(?<![A-Z0-9])[A-Z]{5}[0-9]{4}[A-Z](?![A-Z0-9])",
+    "uid": r"(?<![0-9-])[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}(?![0-9-])",
+    "ifsc": r"(?<![A-Z0-9])[A-Z]{4}0[A-Z0-9]{6}(?![A-Z0-9])",
+    "passport": r"(?<![A-Z0-9])[A-PR-WY][0-9]{7}(?![0-9])",
+    "dl": r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}[ -]?[0-9]{11}(?![0-9])",
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z0-9.-]*[A-Za-z]",
+    "phone": r"[+][0-9]{1,3}(?: ?[(]?[0-9]{3}[)]? ?[0-9]{3}-[0-9]{4}|[ -]?[6-9][0-9]{4}[ -]?[0-9]{5})(?![0-9])",
+    "amount": r"[₹$€£] ?[0-9][0-9,]*(?:[.][0-9]+)?",
+    "date": r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}(?:/[0-9]{1,2}/|-[0-9]{1,2}-|[.][0-9]{1,2}[.])[0-9]{4})(?![0-9])",
 }
 
 
@@ -115,9 +115,9 @@ def layout_profile(text: Column) -> Column:
 
 
 def parse_pipe_table(text: Column) -> Column:
-    """Rows of cells of the first marked table, else of all lines with pipes; cells are trimmed, outer pipes dropped."""
-    marked = F.regexp_extract(text, r"(?s)\[TABLE\](.*?)\[/TABLE\]", 1)
-    lines = F.filter(F.split(F.when(marked != "", marked).otherwise(text), "\n"), lambda x: F.contains(x, F.lit("|")))
+    """Rows of cells of all marked tables in turn, else of all lines with pipes; cells are trimmed, outer pipes dropped."""
+    marked = F.regexp_extract_all(text, F.lit(r"(?s)\[TABLE\](.*?)\[/TABLE\]"), F.lit(1))
+    lines = F.filter(F.split(F.when(F.size(marked) > 0, F.array_join(marked, "\n")).otherwise(text), "\n"), lambda x: F.contains(x, F.lit("|")))
     return F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|", -1), lambda c: F.trim(c)))
 
 
@@ -137,7 +137,7 @@ def extract_identifiers(text: Column) -> Column:
     """Array of (kind, value) of all identifiers in the text, by kind in the order of IDENTIFIERS, then by place."""
 
     def found(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
 
     of = [found(k, p) for k, p in IDENTIFIERS.items()]
     return F.coalesce(F.concat(*of), F.array().cast("array<struct<kind: string, value: string>>"))

@@ -45,7 +45,15 @@ def derive_pan_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select("c_custkey", D.derive_pan_type(F.concat(F.lit("abc"), F.lower(letter), F.lit("e1234f"))).alias("holder"))
 
 
-@query("SELECT c_custkey, CASE lpad(CAST(c_custkey % 40 AS VARCHAR), 2, '0') " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in D.GST_STATES.items()) + " END state FROM customer")
+#: States by their code from 1 to 38, as SQL text.
+STATES = (
+    "Jammu and Kashmir,Himachal Pradesh,Punjab,Chandigarh,Uttarakhand,Haryana,Delhi,Rajasthan,Uttar Pradesh,Bihar,Sikkim,Arunachal Pradesh,Nagaland,Manipur,Mizoram,Tripura,Meghalaya,Assam,West Bengal,"
+    "Jharkhand,Odisha,Chhattisgarh,Madhya Pradesh,Gujarat,Daman and Diu,Dadra and Nagar Haveli,Maharashtra,Andhra Pradesh,Karnataka,Goa,Lakshadweep,Kerala,Tamil Nadu,Puducherry,Andaman and Nicobar Islands,"
+    "Telangana,Andhra Pradesh,Ladakh"
+)
+
+
+@query(f"SELECT c_custkey, string_split('{STATES}', ',')[nullif(c_custkey % 40, 0)] state FROM customer")
 def derive_gst_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     gstin = F.concat(F.lpad((F.col("c_custkey") % 40).cast("string"), 2, "0"), F.lit("ABCDE1234F1Z5"))
     return read(spark, sf_dir, "customer").select("c_custkey", D.derive_gst_state(gstin).alias("state"))

@@ -15,14 +15,16 @@ from folioq.plans.records import PARTS, records
 from folioq.sources import envelopes as S
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 3 THEN 'error' WHEN 2 THEN 'error' ELSE 'success' END status, CASE event_id % 4 WHEN 3 THEN 'Unsupported file type' WHEN 2 THEN 'Invalid JSON' END error,
-CASE event_id % 4 WHEN 0 THEN CAST(json_extract(props, '$.k') AS VARCHAR) WHEN 1 THEN 'r' || event_id END first_value FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 8 IN (2, 3, 6, 7) THEN 'error' ELSE 'success' END status, CASE event_id % 8 WHEN 3 THEN 'Unsupported file type' WHEN 2 THEN 'Invalid JSON' WHEN 6 THEN 'Invalid JSON' WHEN 7 THEN 'Invalid CSV' END error,
+CASE event_id % 8 WHEN 0 THEN CAST(json_extract(props, '$.k') AS VARCHAR) WHEN 1 THEN 'r' || event_id WHEN 4 THEN 'say "hi", ' || chr(10) || event_id WHEN 5 THEN 'late ' || event_id END first_value FROM events""")
 def scan_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as files: JSON, CSV, broken JSON, and a suffix that isn't read."""
+    """Events as files: JSON, CSV, broken JSON, a suffix that isn't read, quoted cells with line breaks, a repeated header, junk after JSON, and an open quote."""
     k = F.col("event_id")
-    ext = F.get(F.array(F.lit(".json"), F.lit(".CSV"), F.lit(".json"), F.lit(".xls")), (k % 4).cast("int"))
-    content = F.when(k % 4 == 0, F.col("props")).when(k % 4 == 1, F.concat(F.lit("a,b\nr"), k.cast("string"), F.lit(",x\n"))).otherwise("{broken")
-    files = read(spark, sf_dir, "events").select(F.concat(F.lit("in/"), k.cast("string"), ext).alias("path"), content.alias("content"))
+    said = k.cast("string")
+    turn = (k % 8).cast("int")
+    ext = F.get(F.array(*[F.lit(x) for x in (".json", ".CSV", ".json", ".xls", ".csv", ".csv", ".json", ".csv")]), turn)
+    shapes = (F.col("props"), F.concat(F.lit("a,b\nr"), said, F.lit(",x\n")), F.lit("{broken"), F.lit("?"), F.concat(F.lit('b,"a"\r\n1,"say ""hi"", \n'), said, F.lit('"\r\n\r\n2')), F.concat(F.lit("a,a\nearly,late "), said), F.lit('{"k": 1} junk'), F.lit('a,b\n1,"open\n2'))
+    files = read(spark, sf_dir, "events").select(F.concat(F.lit("in/"), said, ext).alias("path"), F.coalesce(*[F.when(turn == i, x) for i, x in enumerate(shapes)]).alias("content"))
     first = F.coalesce(F.try_variant_get("record", "$.k", "string"), F.try_variant_get("record", "$.rows[0].a", "string"))
     return S.scan_dispatch(files).select(F.regexp_extract("path", "([0-9]+)", 1).cast("long").alias("event_id"), "status", "error", first.alias("first_value"))
 

@@ -170,17 +170,39 @@ def layout_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", T.layout_profile(F.col("html")).alias("p")).select("page_id", "p.*")
 
 
-@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) x, generate_subscripts(string_split(text, chr(10)), 1) k FROM documents), r AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 row_no, list_transform(string_split(regexp_replace(trim(x), '^\||\|$', '', 'g'), '|'), lambda c: trim(c)) cells FROM l WHERE contains(x, '|'))
-SELECT doc_id, row_no, len(cells) n_cells, list_aggregate(cells, 'string_agg', '¦') cells FROM r""")
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) x, generate_subscripts(string_split(text, chr(10)), 1) k FROM documents WHERE doc_id % 3 <> 0), r AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 row_no, list_transform(string_split(regexp_replace(trim(x), '^\||\|$', '', 'g'), '|'), lambda c: trim(c)) cells FROM l WHERE contains(x, '|'))
+SELECT doc_id, row_no, len(cells) n_cells, list_aggregate(cells, 'string_agg', '¦') cells FROM r UNION ALL SELECT doc_id, row_no, 2, cells || '¦' || doc_id FROM documents, (VALUES (0, 'a'), (1, 'b'), (2, 'c')) t(row_no, cells) WHERE doc_id % 3 = 0""")
 def parse_pipe_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of the lines with pipes."""
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.parse_pipe_table(F.col("text"))).alias("row_no", "cells"))
+    """Cells of the lines with pipes; every third document holds two marked tables, outside of which nothing counts."""
+    k = F.col("doc_id").cast("string")
+    tables = F.concat(F.lit("x | y\n[TABLE]\n| a | "), k, F.lit(" |\nno cells\n| b | "), k, F.lit(" |\n[/TABLE]\nbetween | them\n[TABLE]c|"), k, F.lit("[/TABLE]\nz | z"))
+    text = F.when(F.col("doc_id") % 3 == 0, tables).otherwise(F.col("text"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.parse_pipe_table(text)).alias("row_no", "cells"))
     return rows.select("doc_id", F.col("row_no").cast("long"), F.size("cells").cast("long").alias("n_cells"), F.array_join("cells", "¦").alias("cells"))
 
 
-@query("WITH t AS (SELECT doc_id, coalesce(text, '') t FROM documents) " + " UNION ALL ".join(f"SELECT doc_id, '{k}' kind, v AS value FROM (SELECT doc_id, unnest(regexp_extract_all(t, '{p}', 1)) v FROM t)" for k, p in T.IDENTIFIERS.items()))
+#: What stands in for look-around in SQL: characters that can't belong to a value are doubled first, then one on either side is taken along.
+PLAIN_IDENTIFIERS = {
+    "gstin": ("[^A-Z0-9]", "(?:^|[^A-Z0-9])([0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][1-9A-Z]Z[0-9A-Z])(?:$|[^A-Z0-9])"),
+    "pan": ("[^A-Z0-9]", "(?:^|[^A-Z0-9])([A-Z]{5}[0-9]{4}[A-Z])(?:$|[^A-Z0-9])"),
+    "uid": ("[^0-9 -]", "(?:^|[^0-9-])([0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4})(?:$|[^0-9-])"),
+    "ifsc": ("[^A-Z0-9]", "(?:^|[^A-Z0-9])([A-Z]{4}0[A-Z0-9]{6})(?:$|[^A-Z0-9])"),
+    "passport": ("[^A-Z0-9]", "(?:^|[^A-Z0-9])([A-PR-WY][0-9]{7})(?:$|[^0-9])"),
+    "dl": ("[^A-Z0-9 -]", "(?:^|[^A-Z0-9])([A-Z]{2}[0-9]{2}[ -]?[0-9]{11})(?:$|[^0-9])"),
+    "email": ("[\n\t]", "([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z0-9.-]*[A-Za-z])"),
+    "phone": ("[^0-9+() -]", "([+][0-9]{1,3}(?: ?[(]?[0-9]{3}[)]? ?[0-9]{3}-[0-9]{4}|[ -]?[6-9][0-9]{4}[ -]?[0-9]{5}))(?:$|[^0-9])"),
+    "amount": ("[\n\t]", "([₹$€£] ?[0-9][0-9,]*(?:[.][0-9]+)?)"),
+    "date": ("[^0-9/.-]", "(?:^|[^0-9])([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}(?:/[0-9]{1,2}/|-[0-9]{1,2}-|[.][0-9]{1,2}[.])[0-9]{4})(?:$|[^0-9])"),
+}
+#: Pairs of values with one separator between them.
+CLOSE = "ABCDE1234F ABCDE1234G|2024-01-02 2024-01-03 3/4/2024,05.06.2024|+91 98765 43210;+919876543211|SBIN0001234 HDFC0ABC123|K1234567 L7654321|27ABCDE1234F1Z5 29ABCDE1234F1Z5"
+
+
+@query(f"WITH t AS (SELECT doc_id, coalesce(text, '') || '\n{CLOSE}' t FROM documents) ".replace("\n", "' || chr(10) || '") + " UNION ALL ".join(f"SELECT doc_id, '{k}' kind, v AS value FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(t, '({out})', '\\1\\1', 'g'), '{p}', 1)) v FROM t)" for k, (out, p) in PLAIN_IDENTIFIERS.items()))
 def extract_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", F.explode(T.extract_identifiers(F.coalesce("text", F.lit("")))).alias("i")).select("doc_id", "i.kind", "i.value")
+    """Identifiers of all documents, each with a line of values that follow each other closely."""
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\n" + CLOSE))
+    return read(spark, sf_dir, "documents").select("doc_id", F.explode(T.extract_identifiers(text)).alias("i")).select("doc_id", "i.kind", "i.value")
 
 
 SCORED = ", ".join("(" + " + ".join(f"CAST(contains(t, '{w}') AS INT)" for w in words) + f") k{i}" for i, words in enumerate(KEYWORDS.values()))
