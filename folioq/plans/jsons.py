@@ -93,6 +93,18 @@ def merge_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("tags", F.array_join("tags", ","))
 
 
+@query(CHUNKS + """, e AS (SELECT doc_id, arg_max_null(CASE WHEN k % 3 = 1 THEN '' END, chunk) AS last FROM c GROUP BY 1)
+SELECT doc_id, coalesce(name, last) AS name, number, coalesce(name, last) inner_name, tags inner_tags, tags deep_tags, n _chunks_processed FROM m JOIN u USING (doc_id) JOIN e USING (doc_id)""")
+def merge_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with objects in objects, merged at every depth; lists of objects are told apart by what they hold."""
+    tags = F.transform("tags", lambda t: F.struct(t.alias("tag")))
+    inner = F.struct(F.col("name").alias("name"), F.col("tags").alias("tags"), F.struct(tags.alias("list")).alias("deep"))
+    chunks = chunked(spark, sf_dir).select("doc_id", "chunk", F.struct("name", "number", inner.alias("inner")).alias("record"))
+    out = K.merge_nested(chunks, "doc_id", "chunk", "record")
+    shown = lambda c: F.array_join(c, ",")
+    return out.select("doc_id", "record.name", "record.number", F.col("record.inner.name").alias("inner_name"), shown("record.inner.tags").alias("inner_tags"), shown("record.inner.deep.list.tag").alias("deep_tags"), "_chunks_processed")
+
+
 FLAT = [(path, kind) for path, kind in leaves(SCHEMAS["gst_certificate"]) if path[-1] != "additional_places"]
 
 

@@ -297,3 +297,67 @@ def test_audit_takes_what_comes(spark):
     assert [(r.n_errors, r.n_warnings, len(r.truth_tests), r.changes, r.report) for r in out] == [(0, 0, 0, [], "kept")] * 4 + [(0, 2, 1, [], "kept")]
     assert [r.score for r in out] == [1.0] * 4 + [0.506]
     assert audit(df.limit(0), F.to_date(F.lit("2024-06-15"))).count() == 0
+
+
+def test_nested_merge_matches_a_fold(spark):
+    """Records of up to three chunks against the merge of two dictionaries after the other."""
+    import random
+
+    kind = "struct<name: string, n: double, tags: array<string>, vendor: struct<name: string, lines: array<struct<a: double, b: string>>, deep: struct<flag: boolean, list: array<double>>>>"
+
+    def merged(base, update):
+        if not base:
+            return json.loads(json.dumps(update))
+        for key, val in update.items():
+            if base.get(key) is None or base[key] == "":
+                base[key] = json.loads(json.dumps(val))
+            elif isinstance(base[key], list) and isinstance(val, list):
+                known = {str(x) for x in base[key]}
+                base[key] += [x for x in val if str(x) not in known]
+            elif isinstance(base[key], dict) and isinstance(val, dict):
+                base[key] = merged(base[key], val)
+        return base
+
+    rng = random.Random(2)
+    some = lambda *x: rng.choice([None, *x])
+    lists = lambda item: some([], [item() for _ in range(rng.randrange(1, 4))])
+    deep = lambda: some({"flag": some(True, False), "list": lists(lambda: float(rng.randrange(3)))})
+    vendor = lambda: some({"name": some("", "v", "w"), "lines": lists(lambda: {"a": some(1.0), "b": some("x", "")}), "deep": deep()})
+    record = lambda: {"name": some("", "a", "b"), "n": some(0.0, 2.0), "tags": lists(lambda: some("p", "q", "")), "vendor": vendor()}
+    docs = {i: [record() for _ in range(rng.randrange(1, 4))] for i in range(60)}
+    rows = [(i, c, json.dumps(r)) for i, rs in docs.items() for c, r in enumerate(rs)]
+    df = spark.createDataFrame(rows, "id int, chunk int, j string").select("id", "chunk", F.from_json("j", kind).alias("record"))
+    got = {r.id: r.record.asDict(recursive=True) for r in chunks.merge_nested(df, "id", "chunk", "record").collect()}
+    for i, rs in docs.items():
+        want = {}
+        for r in rs:
+            want = merged(want, r)
+        assert got[i] == want, (rs, got[i])
+    assert chunks.merge_nested(df.limit(0), "id", "chunk", "record").count() == 0
+
+
+def test_csv_cells_match_a_reader(spark):
+    """Quotes, doubled quotes, line breaks in cells, blank lines, short and long rows, repeated headers, against the reader of the standard library."""
+    import csv
+    import io
+
+    from folioq.sources.envelopes import csv_rows, scan_dispatch
+
+    texts = ['a,b\n1,2\n', 'a,b\r\n"x, y",2\r\n', '"say ""hi""","l1\nl2"\n\n\nz,', "a", "", "\n\n", 'p"q,r\n', '"ab"c,d\n', ",,\n", '""\n"",x\n', "é,ü\n\u4e2d,文"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", csv_rows(F.col("t")).alias("r")).orderBy("i")
+    for row, text in zip(df.collect(), texts, strict=True):
+        assert row.r == [r for r in csv.reader(io.StringIO(text, newline="")) if r and r != [""]]
+    files = [("a.csv", "x,x,y\n1,2\n3,4,5,6\n"), ("b.csv", 'x\n"open'), ("c.json", '{"x": 1} junk'), ("d.JSON", '{"x": 1}'), ("e.csv", ""), ("f.csv", None), ("g", "1")]
+    got = {r.path: (r.status, r.error, r.j) for r in scan_dispatch(spark.createDataFrame(files, "path string, content string")).withColumn("j", F.to_json("record")).collect()}
+    assert json.loads(got["a.csv"][2])["rows"] == [{"x": "2", "y": None}, {"x": "4", "y": "5"}]
+    assert [got[k][1] for k in ("b.csv", "c.json", "d.JSON", "f.csv", "g")] == ["Invalid CSV", "Invalid JSON", None, "Invalid CSV", "Unsupported file type"]
+    assert json.loads(got["e.csv"][2])["rows"] == []
+
+
+def test_values_that_follow_closely(spark):
+    text = "ABCDE1234F ABCDE1234G 2024-01-02 2024-01-03,3/4/2024 +91 98765 43210 12024-01-02"
+    df = spark.createDataFrame([(text,), (None,), ("",)], "t string")
+    got = [[tuple(x) for x in r.i] for r in df.select(T.extract_identifiers(F.col("t")).alias("i")).collect()]
+    assert got == [[("pan", "ABCDE1234F"), ("pan", "ABCDE1234G"), ("phone", "+91 98765 43210"), ("date", "2024-01-02"), ("date", "2024-01-03"), ("date", "3/4/2024")], [], []]
+    table = "[TABLE]\n|a|b|\n[/TABLE] x | y [TABLE]c | d[/TABLE]"
+    assert spark.createDataFrame([(table,)], "t string").select(T.parse_pipe_table(F.col("t")).alias("x")).first().x == [["a", "b"], ["c", "d"]]
