@@ -13,17 +13,24 @@ def validation_rows(report: DataFrame, id_col: str) -> DataFrame:
     return report.select(F.col(id_col).alias("extraction_id"), F.when(F.col("is_valid"), "passed").otherwise("failed").alias("status"), F.to_json("findings").alias("issues"), score.alias("quality_score"), counts.alias("metadata"))
 
 
-def catalogue_tables(envelopes: DataFrame, user: str = "user_id", ts: str = "created_at") -> dict[str, DataFrame]:
-    """documents, extractions, extraction_results, extraction_outputs and audit_logs of (extraction_id, user, ts, filename, content,
-    status, document_type, record, exports), exports being a map from format to uri. Each is a projection of the one batch.
+def catalogue_tables(envelopes: DataFrame, user: str = "user_id", ts: str = "created_at", reports: DataFrame | None = None) -> dict[str, DataFrame]:
+    """users, documents, extractions, extraction_results, extraction_outputs, validation_reports and audit_logs of (extraction_id, user, ts, filename,
+    content, status, document_type, record, exports), exports being a map from format to uri, and of reports as validation_rows gives them.
+
+    Each is a projection of the one batch; users are its distinct ones. A document's id follows from its extraction's, so that equal contents stay two documents;
+    the checksum tells that they are equal.
     """
     e, key = envelopes, F.col("extraction_id").cast("string")
-    doc = F.sha2(F.coalesce(F.col("content").cast("binary"), F.lit(b"")), 256)
+    doc = F.sha2(F.concat(F.lit("document:"), key).cast("binary"), 256)
+    checksum = F.sha2(F.coalesce(F.col("content").cast("binary"), F.lit(b"")), 256)
+    none = e.select(key.alias("extraction_id"), "status", F.lit("[]").alias("issues"), F.lit(0).alias("quality_score"), F.lit("{}").alias("metadata")).limit(0)
     return {
-        "documents": e.select(doc.alias("id"), F.col(user).alias("user_id"), "filename", F.octet_length("content").cast("long").alias("size_bytes"), doc.alias("checksum"), F.col(ts).alias("created_at")),
+        "users": e.filter(F.col(user).isNotNull()).groupBy(F.col(user).alias("id")).agg(F.min(ts).alias("created_at")),
+        "documents": e.select(doc.alias("id"), F.col(user).alias("user_id"), "filename", F.octet_length("content").cast("long").alias("size_bytes"), checksum.alias("checksum"), F.col(ts).alias("created_at")),
         "extractions": e.select(key.alias("id"), doc.alias("document_id"), F.col(user).alias("user_id"), "status", F.lit(1).alias("version"), F.col(ts).alias("created_at")),
         "extraction_results": e.filter(F.col("status") == "success").select(key.alias("extraction_id"), "document_type", F.col("record").alias("structured_data"), F.col(ts).alias("created_at")),
         "extraction_outputs": outputs(e, key, ts),
+        "validation_reports": none if reports is None else reports.withColumn("extraction_id", F.col("extraction_id").cast("string")),
         "audit_logs": e.select(F.col(user).alias("user_id"), F.lit("extract").alias("action"), F.lit("extraction").alias("resource_type"), key.alias("resource_id"), F.col(ts).alias("created_at")),
     }
 

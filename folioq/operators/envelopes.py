@@ -18,9 +18,9 @@ def resolve_payload(record: Column) -> Column:
 
 
 def results_projection(record: Column) -> Column:
-    """(document_type, structured_data, confidence, detected_language) of an envelope."""
+    """(document_type, structured_data, confidence, detected_language) of an envelope; one without structured data, as a failed one, has none to show."""
     get = lambda path, kind="string": F.try_variant_get(record, path, kind)
-    return F.struct(F.coalesce(get("$.classification.document_type"), F.lit("other")).alias("document_type"), F.to_json(resolve_payload(record)).alias("structured_data"), get("$.comprehensive_confidence.overall_confidence", "double").alias("confidence"), F.coalesce(get("$.metadata.detected_language"), F.lit("Unknown")).alias("detected_language"))
+    return F.struct(F.coalesce(get("$.classification.document_type"), F.lit("other")).alias("document_type"), F.nullif(F.to_json(get("$.structured_data", "variant")), F.lit("null")).alias("structured_data"), get("$.comprehensive_confidence.overall_confidence", "double").alias("confidence"), F.coalesce(get("$.metadata.detected_language"), F.lit("Unknown")).alias("detected_language"))
 
 
 def response_projection(record: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioq.functions.values import confidence_grade, is_close
+from folioq.functions.variants import bound
 
 FINDING = "struct<pillar: string, severity: string, field: string, message: string, expected: string, actual: string>"
 TEST = "struct<test_name: string, assertion: string, passed: boolean, detail: string, expected_value: string, actual_value: string>"
@@ -63,8 +64,11 @@ def check_total(subtotal: Column, tax: Column, total: Column) -> Column:
 
 def check_subtotal(subtotal: Column, items: Column) -> Column:
     """A warning if the items' sum is positive and misses the subtotal."""
-    summed = line_total_sum(items)
-    return when_true((summed > 0) & ~is_close(subtotal, summed), finding("warning", F.lit("subtotal"), "Subtotal ≠ sum of line-item totals", amount_text(summed), amount_text(subtotal)))
+    return bound(line_total_sum(items), lambda lines: subtotal_finding(subtotal, lines))
+
+
+def subtotal_finding(subtotal: Column, lines: Column) -> Column:
+    return when_true((lines > 0) & ~is_close(subtotal, lines), finding("warning", F.lit("subtotal"), "Subtotal ≠ sum of line-item totals", amount_text(lines), amount_text(subtotal)))
 
 
 def check_grad_year(education: Column, as_of_year: int) -> Column:
@@ -83,14 +87,13 @@ def truth_test(name: str, assertion: str, passed: Column, expected: Column | Non
     return F.when(passed.isNotNull(), F.struct(F.lit(name).alias("test_name"), F.lit(assertion).alias("assertion"), passed.alias("passed"), text.alias("detail"), (text if expected is None else expected).alias("expected_value"), (text if actual is None else actual).alias("actual_value")))
 
 
-def truth_rules_invoice(subtotal: Column, tax: Column, total: Column, items: Column) -> Column:
-    """The arithmetic of an invoice as tests."""
+def truth_rules_invoice(subtotal: Column, tax: Column, total: Column, items: Column, lines: Column) -> Column:
+    """The arithmetic of an invoice as tests; lines is the sum of the items' totals."""
     checkable = F.filter(items, lambda x: (x["quantity"] * known(x["unit_price"]) * known(x["total"])).isNotNull())
-    lines = F.when(F.size(checkable) > 0, ~F.exists(checkable, lambda x: ~is_close(x["quantity"] * x["unit_price"], x["total"])))
-    summed = line_total_sum(items)
+    in_line = bound(checkable, lambda found: F.when(F.size(found) > 0, F.forall(found, lambda x: is_close(x["quantity"] * x["unit_price"], x["total"]))))
     tests = F.array(
-        truth_test("line_math", "quantity * unit_price = total", lines),
-        truth_test("subtotal", "sum of line totals = subtotal", F.when(F.size(items) > 0, is_close(summed, subtotal)), amount_text(summed), amount_text(subtotal)),
+        bound(in_line, lambda passed: truth_test("line_math", "quantity * unit_price = total", passed)),
+        truth_test("subtotal", "sum of line totals = subtotal", F.when(F.size(items) > 0, is_close(lines, subtotal)), amount_text(lines), amount_text(subtotal)),
         truth_test("total", "subtotal + tax = total", is_close(subtotal + tax, total), amount_text(subtotal + tax), amount_text(total)),
     )
     return F.array_compact(tests)
@@ -126,12 +129,24 @@ def validation_score(errors: Column, warnings: Column, passed: Column | float =
 
 
 def validate_invoices(records: DataFrame) -> DataFrame:
-    """records with findings, truth_tests, n_errors, n_warnings, pass_rate, is_valid, score and grade. Null items count as none."""
-    items = F.coalesce(F.col("line_items"), F.array().cast(records.schema["line_items"].dataType))
-    subtotal, tax, total = F.col("subtotal"), F.col("tax"), F.col("total")
-    tested = records.withColumns({"_items": items}).withColumn("truth_tests", truth_rules_invoice(subtotal, tax, total, F.col("_items")))
-    logical = F.concat(check_line_math(F.col("_items")), check_total(subtotal, tax, total), check_subtotal(subtotal, F.col("_items")))
-    found = tested.withColumn("findings", F.concat(logical, truth_to_findings(F.col("truth_tests"))))
-    counted = found.withColumns({"n_errors": severity_count(F.col("findings"), "error"), "n_warnings": severity_count(F.col("findings"), "warning"), "pass_rate": truth_pass_rate(F.col("truth_tests"))})
-    score = validation_score(F.col("n_errors"), F.col("n_warnings"), F.col("pass_rate"))
-    return counted.withColumns({"is_valid": F.col("n_errors") == 0, "score": score}).withColumn("grade", confidence_grade(F.col("score"))).drop("_items")
+    """records with findings, truth_tests, n_errors, n_warnings, pass_rate, is_valid, score and grade. Null items count as none.
+
+    Every part is bound before others refer to it, so each is evaluated once.
+    """
+    given = F.struct(F.coalesce(F.col("line_items"), F.array().cast(records.schema["line_items"].dataType)).alias("items"), F.col("subtotal").alias("subtotal"), F.col("tax").alias("tax"), F.col("total").alias("total"))
+
+    def report(r: Column, lines: Column) -> Column:
+        subtotal, tax, total, items = r["subtotal"], r["tax"], r["total"], r["items"]
+        logical = F.concat(check_line_math(items), check_total(subtotal, tax, total), subtotal_finding(subtotal, lines))
+        return bound(truth_rules_invoice(subtotal, tax, total, items, lines), lambda tests: bound(F.concat(logical, truth_to_findings(tests)), lambda found: counted(found, tests)))
+
+    def counted(found: Column, tests: Column) -> Column:
+        return F.struct(tests.alias("truth_tests"), found.alias("findings"), severity_count(found, "error").alias("n_errors"), severity_count(found, "warning").alias("n_warnings"), truth_pass_rate(tests).alias("pass_rate"))
+
+    name = "report"
+    while name in records.columns:
+        name += "_"
+    audited = records.withColumn(name, bound(given, lambda r: bound(line_total_sum(r["items"]), lambda lines: report(r, lines))))
+    parts = {c: F.col(f"{name}.{c}") for c in ("truth_tests", "findings", "n_errors", "n_warnings", "pass_rate")}
+    score = validation_score(F.col(f"{name}.n_errors"), F.col(f"{name}.n_warnings"), F.col(f"{name}.pass_rate"))
+    return audited.withColumns({**parts, "is_valid": F.col(f"{name}.n_errors") == 0, "score": score}).withColumn("grade", confidence_grade(F.col("score"))).drop(name)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioq.operators import catalogue as C
 from folioq.operators import envelopes as E
-from folioq.plans.base import query, read
+from folioq.plans.base import query, read, scratch
 from folioq.registry import SCHEMAS
+from folioq.sources import catalogue as K
 
 #: What the pages and lookups ask for.
 OWNER, ASKED, PAGE, SIZE = 7, 11, 2, 20
@@ -25,20 +28,43 @@ def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT 'documents' entity, count(*) n FROM documents UNION ALL SELECT 'extractions', count(*) FROM documents UNION ALL SELECT 'extraction_results', count(*) FROM documents WHERE doc_id % 4 <> 0
-UNION ALL SELECT 'extraction_outputs', count(*) + count(*) FILTER (doc_id % 2 = 0) FROM documents UNION ALL SELECT 'audit_logs', count(*) FROM documents""")
-def sink_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that a batch adds to each table."""
-    from functools import reduce
+#: Rows of each table once the batches are kept, by a condition on the documents.
+def kept_sql(where: str) -> str:
+    of = lambda name, more="true", n="count(*)": f"SELECT '{name}' entity, {n} n FROM documents WHERE {more}"
+    both = "count(*) + count(*) FILTER (doc_id % 2 = 0)"
+    twice = "count(DISTINCT (doc_id % 50, doc_id % 3))"
+    return " UNION ALL ".join([of("users", n=twice), of("documents"), of("extractions", where), of("extraction_results", f"doc_id % 4 <> 0 AND {where}"), of("extraction_outputs", where, both), of("validation_reports", f"doc_id % 4 <> 0 AND {where}"), of("audit_logs")])
 
-    tables = C.catalogue_tables(batch(spark, sf_dir))
+
+def kept(spark: SparkSession, sf_dir: str) -> tuple[str, list[str]]:
+    """Documents kept in three batches, of which one is written twice, as after a failure: the folder and the names of the tables."""
+    path, names = scratch(spark), []
+    for turn in (0, 1, 2, 1):
+        part = batch(spark, sf_dir).filter(F.col("extraction_id") % 3 == turn)
+        score = (F.col("extraction_id") % 100).cast("int")
+        reports = part.filter("status = 'success'").select("extraction_id", F.when(score < 50, "failed").otherwise("passed").alias("status"), F.lit("[]").alias("issues"), score.alias("quality_score"), F.lit("{}").alias("metadata"))
+        tables = C.catalogue_tables(part, reports=reports)
+        K.sink_catalogue(tables, path, f"b{turn}")
+        names = list(tables)
+    return path, names
+
+
+def sizes(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("entity"), "n") for name, t in tables.items()])
 
 
-@query("SELECT sha256(coalesce(text, '')) id, doc_id % 50 user_id, coalesce(source, 'unknown') filename, CAST(strlen(text) AS BIGINT) size_bytes FROM documents")
+@query(kept_sql("true"))
+def sink_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each table after three batches, one of them written again."""
+    path, names = kept(spark, sf_dir)
+    return sizes(K.read_catalogue(spark, path, names))
+
+
+@query("SELECT sha256('document:' || doc_id) id, sha256(coalesce(text, '')) checksum, doc_id % 50 user_id, coalesce(source, 'unknown') filename, CAST(strlen(text) AS BIGINT) size_bytes, 'b' || doc_id % 3 AS batch FROM documents")
 def scan_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table of the catalogue."""
-    return C.catalogue_tables(batch(spark, sf_dir))["documents"].select("id", "user_id", "filename", "size_bytes")
+    """The documents table as it is kept."""
+    path, _ = kept(spark, sf_dir)
+    return K.read_catalogue(spark, path, ["documents"])["documents"].select("id", "checksum", "user_id", "filename", "size_bytes", "batch")
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) extraction_id, f AS format, 'out/' || doc_id || '.' || f storage_uri FROM documents, (VALUES ('json'), ('csv')) t(f) WHERE f = 'json' OR doc_id % 2 = 0")
@@ -70,15 +96,13 @@ def catalogue_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.owned(read(spark, sf_dir, "orders"), ASKED, "o_custkey").select("o_orderkey", "o_totalprice", "o_orderstatus")
 
 
-@query("""SELECT 'extractions' entity, count(*) n FROM documents WHERE doc_id % 10 <> 3 UNION ALL SELECT 'extraction_results', count(*) FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 10 <> 3
-UNION ALL SELECT 'extraction_outputs', count(*) + count(*) FILTER (doc_id % 2 = 0) FROM documents WHERE doc_id % 10 <> 3 UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'audit_logs', count(*) FROM documents""")
+@query(kept_sql("NOT (doc_id % 10 = 3 AND doc_id % 3 < 2)"))
 def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows left in each table once every tenth extraction is removed; the audit log keeps its rows."""
-    from functools import reduce
-
-    tables = C.catalogue_tables(batch(spark, sf_dir))
-    gone = tables["extractions"].filter(F.col("id").cast("long") % 10 == 3).select("id")
-    return reduce(DataFrame.unionByName, [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("entity"), "n") for name, t in C.delete_cascade(tables, gone).items()])
+    """Rows left in the kept tables once every tenth extraction of two batches is removed with its results, outputs and reports; documents and the audit log keep theirs."""
+    path, names = kept(spark, sf_dir)
+    gone = read(spark, sf_dir, "documents").filter("doc_id % 10 = 3 AND doc_id % 3 < 2").select(F.col("doc_id").cast("string").alias("id"))
+    K.delete_stored(spark, path, names, gone)
+    return sizes(K.read_catalogue(spark, path, names))
 
 
 @query("SELECT user_id, count(*) n_files, count(*) BETWEEN 1 AND 20 accepted FROM events GROUP BY 1")
@@ -101,8 +125,7 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_id, CASE WHEN e = 0 THEN 'other' ELSE coalesce(lang, 'other') END document_type, CASE WHEN e > 0 THEN '{{\"n\":' || doc_id || '}}' END structured_data, CASE WHEN e > 0 THEN CAST(c AS DOUBLE) END confidence, coalesce(l, 'Unknown') detected_language FROM {ENVELOPE}")
 def results_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What callers get of a result; failed extractions have no data."""
-    rows = envelopes(spark, sf_dir).select("doc_id", E.results_projection(F.col("record")).alias("p")).select("doc_id", "p.*")
-    return rows.withColumn("structured_data", F.when(F.col("confidence").isNotNull(), F.col("structured_data")))
+    return envelopes(spark, sf_dir).select("doc_id", E.results_projection(F.col("record")).alias("p")).select("doc_id", "p.*")
 
 
 @query(f"SELECT doc_id, CASE WHEN e = 0 THEN 'error' ELSE 'success' END status, CASE WHEN e > 0 THEN lang END document_type, CASE WHEN e > 0 THEN CAST(c AS DOUBLE) END overall_confidence, l AS language, s AS seconds FROM {ENVELOPE}")
