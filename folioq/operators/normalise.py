@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
 from folioq.functions.values import normalise_phone, parse_date_iso, to_float
+from folioq.functions.variants import bound
 
 #: Tokens of keys, looked for anywhere in the key, and the names of the rules.
 DATE_TOKENS = ("date", "dob", "birth", "expiry", "issued", "due")
@@ -82,8 +83,11 @@ def joined(changes: list[Column]) -> Column:
 
 def normalise(df: DataFrame, record: str, changes: str = "changes") -> DataFrame:
     """df with the record in its new form and the array of its changes. A null record stays null and has none."""
-    kind, new = df.schema[record].dataType, "rewritten"
-    while new in df.columns:
-        new += "_"
-    out = df.withColumn(new, rewritten(kind, F.col(record), ""))
-    return out.withColumn(changes, joined(differences(kind, F.col(record), F.col(new), None, ""))).withColumn(record, F.col(new)).drop(new)
+    kind, name = df.schema[record].dataType, "normalised"
+    while name in df.columns:
+        name += "_"
+
+    def both(old: Column) -> Column:
+        return bound(rewritten(kind, old, ""), lambda new: F.struct(new.alias("record"), joined(differences(kind, old, new, None, "")).alias("changes")))
+
+    return df.withColumn(name, bound(F.col(record), both)).withColumns({record: F.col(f"{name}.record"), changes: F.col(f"{name}.changes")}).drop(name)

@@ -74,7 +74,7 @@ FOUND = """(0, true, 'error', 'line_items.0.total', 'Quantity × Unit Price ≠
 UNION ALL SELECT k, 'contextual_sanity', CASE reply WHEN 1 THEN 'error' ELSE 'warning' END, CASE reply WHEN 1 THEN 'f' END, CASE reply WHEN 1 THEN 'm' ELSE 'w' END, CASE reply WHEN 1 THEN '1' END, NULL FROM {KEYS} WHERE reply IN (1, 2)""")
 def audit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The findings that come from arithmetic and from the model."""
-    return audited(spark, sf_dir).select("doc_id", F.inline("findings")).filter("pillar <> 'truth_test'")
+    return audited(spark, sf_dir).select("doc_id", F.inline_outer("findings")).filter("pillar <> 'truth_test'")
 
 
 TESTS = """(0, 'line_math', false), (0, 'subtotal', false), (0, 'total', false), (1, 'line_math', false), (1, 'subtotal', true), (1, 'total', false), (2, 'jobs_in_order', false), (2, 'graduation_realistic', false), (3, 'closing', false), (3, 'running_balance', false),
@@ -85,7 +85,7 @@ TESTS = """(0, 'line_math', false), (0, 'subtotal', false), (0, 'total', false),
 @query(f"SELECT k doc_id, test_name, CASE WHEN broken THEN if_broken ELSE true END passed FROM {KEYS} JOIN (VALUES {TESTS}) AS x(t, test_name, if_broken) USING (t)")
 def audit_truth_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every truth test of every record: right records pass all of theirs."""
-    return audited(spark, sf_dir).select("doc_id", F.inline("truth_tests")).select("doc_id", "test_name", "passed")
+    return audited(spark, sf_dir).select("doc_id", F.inline_outer("truth_tests")).select("doc_id", "test_name", "passed").filter("test_name is not null")
 
 
 CHANGED = """(0, false, 'invoice_date', '2024-04-03'), (1, false, 'items.0.amount', '3000.0'), (1, false, 'subtotal', '3000.0'), (1, false, 'grand_total', '3300.0'), (1, false, 'vendor.phone', '+919876543210'), (2, false, 'experience.1.start_date', '2018-02-01'),
@@ -95,4 +95,4 @@ CHANGED = """(0, false, 'invoice_date', '2024-04-03'), (1, false, 'items.0.amoun
 @query(f"SELECT k doc_id, field, normalised_value FROM {KEYS} JOIN (VALUES {CHANGED}) AS c(t, broken, field, normalised_value) USING (t, broken)")
 def audit_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What normalisation changes in records of any shape."""
-    return audited(spark, sf_dir).select("doc_id", F.inline("changes")).select("doc_id", "field", "normalised_value")
+    return audited(spark, sf_dir).select("doc_id", F.inline_outer("changes")).select("doc_id", "field", "normalised_value").filter("field is not null")
