@@ -35,8 +35,8 @@ ASKING, ASKED, NEAREST = 256, 2_048, 4
 #: Of the HASHES minimum hashes, a pair of similarity 0.8 shares fewer than this with a chance of about 1 in 10^6.
 HASHES = TREES * DEPTH
 PLAUSIBLE = round(HASHES * (0.8 - 4.8 * (0.16 / HASHES) ** 0.5))
-#: Shingles hashed at a time.
-BLOCK = 1_024
+#: Shingles hashed at a time, and rows of sets that are taken out of Arrow at a time.
+BLOCK, PIECE = 1_024, 256
 #: Factors of the words of a run, by place, and of the minimum hashes.
 PLACES = np.random.default_rng(SEED).integers(1, 1 << 63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
 FACTORS = np.random.default_rng(SEED).integers(1, 1 << 31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -70,11 +70,18 @@ def signature(h: np.ndarray) -> bytes:
     return (least >> np.uint32(16)).astype(">u2").tobytes()
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches PIECE rows at a time, so that a task holds few sets at once."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, PIECE):
+            yield batch.slice(a, PIECE)
+
+
 def described(docs: DataFrame, width: int) -> DataFrame:
     """(id, v, n, signature) of every row of (id, text): the digest of its set, its size and its minimum hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             v, n, s = [], [], []
             for t in batch.column(1):
                 h = shingles(t.as_py(), width)
@@ -114,7 +121,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             keep = [linked(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -126,7 +133,7 @@ def sets_of(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
     """(v, shingles) of the sets v of reps (v, id), read from the rows that stand for them; up to BROADCAST ids go to the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             h = [shingles(t.as_py(), width) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in h], pa.binary()), pa.array([x.tobytes() for x in h], pa.binary())], ["v", "shingles"])
 
@@ -200,7 +207,7 @@ def tiles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tu
     def whole() -> bool:
         return any(r[0] for r in rows) and not all(r[0] for r in rows)
 
-    for batch in batches:
+    for batch in pieces(batches):
         for g, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (g, i, j) != key:
                 if whole():
