@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioq.functions import text as T
-from folioq.plans import audit_types, audits, catalogues, derived, fleet, inputs, jsons, records, tables, texts  # noqa: F401 (registers its queries)
+from folioq.plans import audit_types, audits, catalogues, derived, fleet, inputs, jsons, records, streams, tables, texts  # noqa: F401 (registers its queries)
 from folioq.plans.base import ORACLE_SQL, QUERIES, query, read
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text,''), '[\s\x{0B}\x{85}\p{Z}]+'), lambda x: x <> '')"
