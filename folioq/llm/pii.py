@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,8 +20,17 @@ from folioq.llm.common import fresh
 
 #: Common first names by gender, and surnames.
 MALE = "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Paul Mark George Peter Hans Karl Klaus Jürgen Wolfgang Stefan Jean Pierre Michel André Philippe Louis José Juan Carlos Luis Miguel Javier Pablo Иван Сергей Дмитрий Алексей".split()
-FEMALE = "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Lisa Nancy Emily Anna Laura Ursula Monika Petra Sabine Renate Marie Nathalie Isabelle Sophie Camille Carmen Josefa Isabel Dolores Pilar Lucía Elena Ольга Наталья Анна Мария".split()
+FEMALE = "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Lisa Nancy Emily Anna Laura Ursula Monika Petra Sabine Renate Marie Nathalie Isabelle Sophie Camille Carmen Josefa Isabel Dolores Pilar Lucía Elena Ольга Наталья Анна Мария María".split()
 SURNAMES = "Smith Johnson Williams Brown Jones Miller Davis Wilson Anderson Taylor Müller Schmidt Schneider Fischer Weber Meyer Wagner Becker Martin Bernard Dubois Durand Moreau Laurent García Martínez López Sánchez Pérez Gómez Fernández Ruiz Иванов Смирнов Кузнецов Попов".split()
+
+
+def with_plain(names: list[str]) -> list[str]:
+    """Names with those that are the same without accents after them, as they are often typed."""
+    bare = [unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", n) if c not in "\u0300\u0301\u0302\u0303\u0308\u0327")) if n[0] < "Ѐ" else n for n in names]
+    return list(dict.fromkeys(names + bare))
+
+
+MALE, FEMALE, SURNAMES = with_plain(MALE), with_plain(FEMALE), with_plain(SURNAMES)
 TITLES = "Mr Mrs Ms Miss Herr Frau Monsieur Madame Señora Señor".split()
 #: Characters that are exchanged among themselves; vowels and consonants apart, so that words stay pronounceable.
 LATIN = ("aeiouy", "bcdfghjklmnpqrstvwxz", "àáâãäåæèéêëìíîïòóôõöøùúûüý", "çñðþßāăąćĉċčďđēĕėęěĝğġģĥħĩīĭįĵķĺļľłńņňōŏőœŕŗřśŝşšţťŧũūŭůűųŵŷźżž")
@@ -31,22 +41,31 @@ PLAIN = ("0123456789", *LATIN[:2])
 #: Country calling codes by their first digits.
 CALLING = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: Letters of addresses beside ASCII: Latin, Greek and Cyrillic ones; scripts that are written without blanks would take their neighbours along.
+WIDE = r"\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F\u0370-\u03FF\u0400-\u04FF"
+MAIL = rf"[A-Za-z0-9{WIDE}._%+-]"
+HEX = "[0-9A-Fa-f]{1,4}"
+#: Eight groups, or fewer around one double colon with a digit somewhere, so that qualified names in code are none.
+GROUPS = rf"(?:{HEX}:){{7}}{HEX}|(?=[A-Fa-f:]{{0,39}}[0-9])(?=(?:[0-9A-Fa-f]{{0,4}}:){{2,7}}[0-9A-Fa-f]{{0,4}}(?![0-9A-Za-z:])){HEX}(?::{HEX}){{0,5}}::(?:{HEX}(?::{HEX}){{0,5}})?"
+STAMP = "(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])(?:[01][0-9]|2[0-3])[0-5][0-9][0-5][0-9](?![0-9])"
 WORD = r"\p{Lu}(?:\p{L}|['’-](?=\p{L})){1,40}"
 TITLE = rf"(?:{'|'.join(TITLES + [t.upper() for t in TITLES])})\.?\x20"
 #: Entity kinds in the order in which they are tried at a place. Phone numbers have 7 to 15 digits after a plus, or groups as
-#: written in the United States, France, Spain and Germany.
+#: written in the United States, France, Spain and Germany, or are ten digits of the United States with nothing between them.
+#: A name after a title may be of a script without capitals; a time of 14 digits is no card.
 KINDS = {
-    "email": r"(?=[A-Za-z0-9._%+-])(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
+    "email": rf"(?={MAIL})(?<!{MAIL}){MAIL}{{1,64}}+@[A-Za-z0-9{WIDE}-]{{1,63}}(?:\.[A-Za-z0-9{WIDE}-]{{1,63}}){{1,8}}",
     "ip": rf"(?=[0-9])(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
+    "ipv6": rf"(?=[0-9A-Fa-f])(?<![0-9A-Za-z:.])(?:{GROUPS})(?![0-9A-Za-z:])",
     "iban": r"(?=[A-Z]{2}[0-9])(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?=[0-9])(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
-    "card": r"(?=[0-9])(?<![0-9+])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9])",
-    "phone": r"(?=[0-9+(])(?:\+[0-9](?:[\x20.()/-]{0,2}[0-9]){6,14}|(?<![0-9+.-])(?!(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?:(?:\([0-9]{2,4}\)|0[0-9]{1,4}|[0-9]{3})(?:[\x20./-][0-9]{2,4}){2,5}|0[0-9]{2,4}[\x20/-][0-9]{5,8}))(?![0-9]|[.-][0-9])",
-    "name": rf"(?=[A-ZА-Я])(?<!\p{{L}})(?:{TITLE}(?:(?:\p{{Lu}}\.|{WORD})\x20){{0,2}}{WORD}|(?:{'|'.join(MALE + FEMALE)})\x20(?:\p{{Lu}}\.\x20)?{WORD})",
+    "card": rf"(?=[0-9])(?<![0-9+])(?!{STAMP})[0-9](?:[\x20-]?[0-9]){{12,18}}(?![0-9])",
+    "phone": r"(?=[0-9+(])(?:\+[0-9](?:[\x20.()/-]{0,2}[0-9]){6,14}|(?<![0-9+.-])(?!(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?:(?:\([0-9]{2,4}\)|0[0-9]{1,4}|[0-9]{3})(?:[\x20./-][0-9]{2,4}){2,5}|0[0-9]{2,4}[\x20/-][0-9]{5,8})|(?<![\w/=.+-])[2-9][0-9]{2}[2-9][0-9]{6}(?![\w/=]))(?![0-9]|[.-][0-9])",
+    "name": rf"(?=[A-ZА-Я])(?<!\p{{L}})(?:{TITLE}(?:(?:(?:\p{{Lu}}\.|{WORD})\x20){{0,2}}{WORD}|\p{{Lo}}[\p{{Lo}}\p{{M}}]{{0,20}}(?:\x20\p{{Lo}}[\p{{Lo}}\p{{M}}]{{0,20}})?)|(?:{'|'.join(MALE + FEMALE)})\x20(?:\p{{Lu}}\.\x20)?{WORD})",
 }
 PATTERN = "|".join(KINDS.values())
 #: Every entity has a match of this, which is cheaper to look for: most texts have none and are passed on.
-QUICK = rf"@|[0-9](?:[^\p{{L}}]{{0,3}}[0-9]){{3}}|(?=[A-ZА-Я])(?:[A-Z]{{2}}[0-9]{{2}}|(?<!\p{{L}})(?:{'|'.join(TITLES + [t.upper() for t in TITLES] + MALE + FEMALE)})[.\x20])"
+QUICK = rf"@|[0-9A-Fa-f]:[0-9A-Fa-f]{{0,4}}:|[0-9](?:[^\p{{L}}]{{0,3}}[0-9]){{3}}|(?=[A-ZА-Я])(?:[A-Z]{{2}}[0-9]{{2}}|(?<!\p{{L}})(?:{'|'.join(TITLES + [t.upper() for t in TITLES] + MALE + FEMALE)})[.\x20])"
 
 
 def kind_of(entity: Column) -> Column:
@@ -65,13 +84,13 @@ def number(size: Column | int, key: str, *parts: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % size).cast("int")
 
 
-def pass_over(chars: Column, key: str, salt: Column, names: bool) -> Column:
+def pass_over(chars: Column, key: str, salt: Column, names: bool, alphabets: tuple[str, ...]) -> Column:
     """Every character of a known alphabet moved within it by a keyed step that depends on those before it, so one-to-one."""
 
     def char(c: Column, i: Column) -> Column:
         def by(step: Column) -> Column:
             out = F.when(c == "", c)
-            for letters in (*LATIN, *CYRILLIC_GREEK) if names else PLAIN:
+            for letters in alphabets:
                 at = F.instr(F.lit(letters), c)
                 out = out.when(at > 0, F.substring(F.lit(letters), (at - 1 + step) % len(letters) + 1, F.lit(1)))
             for first, last in RANGES if names else ():
@@ -85,10 +104,11 @@ def pass_over(chars: Column, key: str, salt: Column, names: bool) -> Column:
     return F.transform(chars, char)
 
 
-def moved(text: Column, key: str, salt: str, names: bool = False) -> Column:
+def moved(text: Column, key: str, salt: str, names: bool = False, alphabets: tuple[str, ...] = ()) -> Column:
     """A lower-case text or number over the same alphabets; forth and back, so that every character depends on every other."""
-    forth = once(F.split(text, ""), lambda c: F.reverse(pass_over(c, key, F.lit(salt + ">"), names)))
-    return F.array_join(F.reverse(once(forth, lambda c: pass_over(c, key, F.lit(salt + "<"), names))), "")
+    alphabets = alphabets or ((*LATIN, *CYRILLIC_GREEK) if names else PLAIN)
+    forth = once(F.split(text, ""), lambda c: F.reverse(pass_over(c, key, F.lit(salt + ">"), names, alphabets)))
+    return F.array_join(F.reverse(once(forth, lambda c: pass_over(c, key, F.lit(salt + "<"), names, alphabets))), "")
 
 
 def digits(text: Column) -> Column:
@@ -216,21 +236,45 @@ def address(entity: Column, key: str) -> Column:
     return F.array_join(F.reverse(once(forth, lambda o: turn(o, "ip<"))), ".")
 
 
+def hex_groups(entity: Column) -> Column:
+    """The eight groups of an address of version 6 as numbers."""
+    side = lambda i: F.filter(F.split(F.coalesce(F.get(F.split(entity, "::", -1), F.lit(i)), F.lit("")), ":"), lambda x: x != "")
+    return F.transform(F.concat(side(0), F.array_repeat(F.lit("0"), F.greatest(8 - F.size(side(0)) - F.size(side(1)), F.lit(0))), side(1)), lambda x: F.conv(x, 16, 10).cast("int"))
+
+
+def long_address(entity: Column, key: str) -> Column:
+    """Groups that are not zero move among those, forth and back, so zeros stay where they are, written out or not; letters keep their case if all are capitals."""
+
+    def turn(groups: Column, salt: str) -> Column:
+        return F.transform(groups, lambda x, i: F.when(x == 0, x).otherwise((x - 1 + number(65_535, key, F.lit(salt), F.array_join(F.slice(groups, F.lit(1), i), ":"))) % 65_535 + 1))
+
+    def written(groups: Column) -> Column:
+        shown = F.transform(F.reverse(groups), lambda x: F.lower(F.hex(x)))
+        left = F.size(F.filter(F.split(F.split_part(entity, F.lit("::"), F.lit(1)), ":"), lambda x: x != ""))
+        right = F.size(F.filter(F.split(F.split_part(entity, F.lit("::"), F.lit(2)), ":"), lambda x: x != ""))
+        short = F.concat(F.array_join(F.slice(shown, F.lit(1), left), ":"), F.lit("::"), F.array_join(F.slice(shown, 9 - right, right), ":"))
+        return F.when(F.contains(entity, F.lit("::")), short).otherwise(F.array_join(shown, ":"))
+
+    forth = once(hex_groups(entity), lambda g: F.reverse(turn(g, "ipv6>")))
+    out = once(once(forth, lambda g: turn(g, "ipv6<")), written)
+    return F.when(entity.rlike("[A-F]") & (entity == F.upper(entity)), F.upper(out)).otherwise(out)
+
+
 def email(entity: Column, key: str) -> Column:
     """The top domain stays; case doesn't matter for who it is, and is kept by letter."""
     low = F.lower(entity)
     top = F.regexp_extract(low, r"\.[^.]*$", 0)
-    return like(F.concat(moved(F.substring(low, F.lit(1), F.length(low) - F.length(top)), key, "email"), top), entity)
+    return like(F.concat(moved(F.substring(low, F.lit(1), F.length(low) - F.length(top)), key, "email", alphabets=(*PLAIN, *LATIN[2:], *CYRILLIC_GREEK)), top), entity)
 
 
 def identity(entity: Column, kind: Column) -> Column:
     """What an entity is, however it is written: two entities with one identity have one surrogate but for form."""
     number_ = F.when(kind == "phone", F.regexp_replace(F.when(entity.startswith("+"), F.regexp_replace(digits(entity), CALLING, "")).otherwise(digits(entity)), "^0+", "")).otherwise(digits(entity))
-    return F.when(kind.isin("card", "phone", "ssn"), number_).when(kind == "iban", F.replace(entity, F.lit(" "), F.lit(""))).when(kind == "name", F.lower(F.regexp_replace(entity, f"^{TITLE}", ""))).otherwise(F.lower(entity))
+    return F.when(kind.isin("card", "phone", "ssn"), number_).when(kind == "ipv6", F.array_join(hex_groups(entity), ":")).when(kind == "iban", F.replace(entity, F.lit(" "), F.lit(""))).when(kind == "name", F.lower(F.regexp_replace(entity, f"^{TITLE}", ""))).otherwise(F.lower(entity))
 
 
 def surrogate(entity: Column, key: str) -> Column:
-    makers = {"email": email, "ip": address, "iban": iban, "ssn": ssn, "card": card, "phone": phone, "name": person}
+    makers = {"email": email, "ip": address, "ipv6": long_address, "iban": iban, "ssn": ssn, "card": card, "phone": phone, "name": person}
     return once(kind_of(entity), lambda kind: reduce(lambda out, k: out.when(kind == k, makers[k](entity, key)), list(makers)[1:], F.when(kind == "email", email(entity, key))).otherwise(entity))
 
 
