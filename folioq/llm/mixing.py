@@ -1,7 +1,8 @@
 """LM scoring: every text's bits under the context-mixing model of the training texts, and a unigram base beside it.
 
 Tasks count bits by hashed context and words; both counts are added up by Spark. The tables have a proven size (four contexts
-of at most 2^22 slots), the word counts grow with the corpus and are joined.
+of at most 2^22 slots), the word counts grow with the corpus and are joined. Mixing weights and refinement are learned from the bits of all
+training texts too, added up by gate and rounded logits (2^21 numbers at most).
 """
 
 from __future__ import annotations
@@ -14,19 +15,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioq.llm.bits import CHUNK, BitCounts, BitMixer, slot_bits, states, stream
+from folioq.llm.bits import CHUNK, BitCounts, BitMixer, JointCounts, slot_bits, states, stream
 from folioq.llm.common import fold, split_bucket, store
 
-#: Distinct training texts that the mixing weights (a few dozen numbers) and the refinement are fitted on at most, and their bytes;
-#: a hash of the text picks them. The counts cover all training texts.
-FIT_TEXTS, FIT_BYTES = 300, 2_000_000
 #: Words with at least 1 / FREQUENT of the training tokens, so at most as many, are priced where the texts are; all others
 #: meet their counts in a join.
 FREQUENT, FREQUENT_BYTES = 1 << 19, 32
 #: Rows that a task gathers before it hands them on.
 FLUSH = 200_000
-#: Tasks that add up the chunks of the bit tables.
-ADDERS = 64
+#: Tasks that add up the chunks of the bit tables, and those of the joint counts.
+ADDERS, JOINERS = 64, 16
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -67,29 +65,41 @@ def bit_tables(texts: DataFrame, bits: list[int]) -> list[np.ndarray]:
 
 
 def fitted(texts: DataFrame, tables: list[np.ndarray]) -> BitMixer:
-    """The mixer with weights and refinement learned online, in one fixed order, from a bounded sample of distinct training texts."""
+    """The mixer with weights and refinement learned from the bits of all training rows; tasks and adders sum whole numbers, so no order matters."""
     mixer = BitMixer(tables)
     shared = texts.sparkSession.sparkContext.broadcast(mixer)
-    keyed = texts.filter(~F.col("held_out") & (F.length("text") > 0)).select(F.xxhash64("text").alias("key"), "text")
-    least = keyed.select("key").distinct().orderBy("key").limit(FIT_TEXTS)
-    few = keyed.join(F.broadcast(least), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")).orderBy("key").select("text")
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, size = [], 0
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joint = JointCounts(shared.value.tables)
         for batch in batches:
             for text in batch.column(0):
-                if size < FIT_BYTES:
-                    words.append(fold(text.as_py()).split())
-                    size += len(stream(words[-1]))
-        own = BitMixer(shared.value.tables)
-        if words:
-            own.fit(words)
-        yield pa.RecordBatch.from_arrays([pa.array([own.weights.tobytes()], pa.binary()), pa.array([own.refined.tobytes()], pa.binary())], ["weights", "refined"])
-
-    found = few.coalesce(1).mapInArrow(learn, "weights binary, refined binary").first()
-    if found:
-        mixer.weights = np.frombuffer(found[0], np.float32).reshape(mixer.weights.shape)
-        mixer.refined = np.frombuffer(found[1], np.float32)
+                joint.add(fold(text.as_py()).split())
+        total = joint.total()
+        for i in range(0, len(total), CHUNK):
+            part = total[i : i + CHUNK]
+            met = np.flatnonzero(part)
+            if len(met):
+                yield pa.RecordBatch.from_arrays([pa.array([i // CHUNK], pa.int32()), pa.array([met.astype(np.uint16).tobytes()], pa.binary()), pa.array([part[met].tobytes()], pa.binary())], ["chunk", "places", "seen"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, places, seen in zip(*batch.columns, strict=True):
+                total = sums.setdefault(chunk.as_py(), np.zeros(CHUNK, np.int64))
+                total[np.frombuffer(places.as_buffer(), np.uint16)] += np.frombuffer(seen.as_buffer(), np.int64)
+        for chunk, total in sums.items():
+            met = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([met.astype(np.uint16).tobytes()], pa.binary()), pa.array([total[met].tobytes()], pa.binary())], ["chunk", "places", "seen"])
+
+    schema = "chunk int, places binary, seen binary"
+    counted = texts.filter(~F.col("held_out")).select("text").mapInArrow(count, schema)
+    seen = np.zeros(len(JointCounts(tables).total()), np.int64)
+    for batch in counted.repartition(JOINERS, "chunk").mapInArrow(add, schema).toArrow().to_batches():
+        for chunk, places, n in zip(*batch.columns, strict=True):
+            seen[chunk.as_py() * CHUNK + np.frombuffer(places.as_buffer(), np.uint16).astype(np.int64)] = np.frombuffer(n.as_buffer(), np.int64)
+    shared.destroy()
+    if seen.any():
+        mixer.learn(seen)
     return mixer
 
 

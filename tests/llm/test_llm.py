@@ -262,6 +262,24 @@ def test_language_model_scores_rows_each(spark):
     assert len({r.score for r in got if r.doc_id == 1}) == 1
 
 
+def test_weights_learn_from_every_training_text(spark):
+    """More training texts than any bound, each counted: the learned numbers are those of one pass over all of them."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(("red", "green", "blue", f"w{rng.randrange(50)}")) for _ in range(12))) for i in range(700)]
+    texts = spark.createDataFrame(rows, "id long, text string").selectExpr("id", "text", "crc32(cast(cast(id as string) as binary)) % 10 = 0 as held_out")
+    tables = mixing.bit_tables(texts, [16] * bits.K)
+    learned = mixing.fitted(texts, tables)
+    joint = bits.JointCounts(tables)
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            joint.add(t.encode().split())
+    whole = joint.total()
+    assert whole[: 2 * bits.JOINT].sum() == sum(bits.LENGTH[list(bits.stream(t.encode().split()))].sum() for i, t in rows if zlib.crc32(str(i).encode()) % 10)
+    want = bits.BitMixer(tables)
+    want.learn(whole)
+    assert (learned.weights == want.weights).all() and (learned.refined == want.refined).all()
+
+
 def test_bits_are_a_distribution():
     """One more byte's probabilities sum to one, learned tables or not."""
     counts = bits.BitCounts([16] * bits.K)
