@@ -21,6 +21,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioq.llm.common import pieces
+
 #: Pre-tokens kept per generation of the cache; two generations are alive at most, about 60 MB a worker.
 CACHE_ENTRIES = 100_000
 #: Longer pre-tokens are encoded without being kept.
@@ -120,6 +122,10 @@ class ForcedBoundaryBPE:
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(ids for _, ids in self.encoded(text)))
 
+    def forget(self) -> None:
+        """Empty the cache, so that a worker is left small to the tasks that follow."""
+        self.cache = PieceCache(self)
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -194,7 +200,7 @@ def encode_texts(docs: DataFrame, path: str, text_col: str = "text", out_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in batches:
+        for batch in pieces(batches):
             ids, ends, decoded = [], [0], []
             for t in batch.column(at):
                 own = bpe.encode(t.as_py() or "")
@@ -207,6 +213,7 @@ def encode_texts(docs: DataFrame, path: str, text_col: str = "text", out_col: st
                 columns[at] = pa.array(decoded, pa.string())
             flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
             yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], [*names, out_col])
+        bpe.forget()
 
     return base.mapInArrow(run, schema)
 

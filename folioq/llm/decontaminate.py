@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioq.llm.common import fold, fresh, store
+from folioq.llm.common import fold, fresh, pieces, store
 
 #: Words of test items per automaton (about 1.2 KB each in a worker); a larger benchmark is handled in blocks, one pass each.
 WORDS_PER_AUTOMATON = 100_000
@@ -227,7 +227,7 @@ def hit_report(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = finder()
-        for batch in batches:
+        for batch in pieces(batches):
             rows: list[tuple[int, int, int, str]] = []
             for text, known in zip(batch.column(1), batch.column(2), strict=True):
                 words, spans, items = find(text.as_py(), known.as_py())
@@ -270,7 +270,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = finder()
-        for batch in batches:
+        for batch in pieces(batches):
             new, keep = [], []
             for text, known in zip(batch.column(at).to_pylist(), batch.column(last), strict=True):
                 words, spans, _ = find(text, known.as_py())
