@@ -24,7 +24,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near-duplicates: five-word shingles, Jaccard 0.8 or more."""
+    """One document, that with the smallest id, of each group of near-duplicates: five-word shingles, Jaccard 0.8 or more, by SimHash and beyond its radius by a MinHash forest."""
     return keep_representatives(docs)
 
 

@@ -21,8 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioq.llm.common import fold, store
+from folioq.llm.common import fold, pieces, store
 from folioq.llm.graph import connected_components
+from folioq.llm.simhash import links as fingerprint_links
+from folioq.llm.simhash import majority, signed
 
 WIDTH, SEED = 2, 42
 TREES, DEPTH, START = 32, 8, 5
@@ -35,8 +37,8 @@ ASKING, ASKED, NEAREST = 256, 2_048, 4
 #: Of the HASHES minimum hashes, a pair of similarity 0.8 shares fewer than this with a chance of about 1 in 10^6.
 HASHES = TREES * DEPTH
 PLAUSIBLE = round(HASHES * (0.8 - 4.8 * (0.16 / HASHES) ** 0.5))
-#: Shingles hashed at a time, and rows of sets that are taken out of Arrow at a time.
-BLOCK, PIECE = 1_024, 256
+#: Shingles hashed at a time.
+BLOCK = 1_024
 #: Factors of the words of a run, by place, and of the minimum hashes.
 PLACES = np.random.default_rng(SEED).integers(1, 1 << 63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
 FACTORS = np.random.default_rng(SEED).integers(1, 1 << 31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -70,27 +72,21 @@ def signature(h: np.ndarray) -> bytes:
     return (least >> np.uint32(16)).astype(">u2").tobytes()
 
 
-def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches PIECE rows at a time, so that a task holds few sets at once."""
-    for batch in batches:
-        for a in range(0, batch.num_rows, PIECE):
-            yield batch.slice(a, PIECE)
-
-
-def described(docs: DataFrame, width: int) -> DataFrame:
-    """(id, v, n, signature) of every row of (id, text): the digest of its set, its size and its minimum hashes."""
+def described(docs: DataFrame, width: int, prints: bool) -> DataFrame:
+    """(id, v, n, signature, fp) of every row of (id, text): the digest of its set, its size, its minimum hashes and its SimHash fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            v, n, s = [], [], []
+            v, n, s, fp = [], [], [], []
             for t in batch.column(1):
                 h = shingles(t.as_py(), width)
                 v.append(digest(h))
                 n.append(len(h))
                 s.append(signature(h) if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(v, pa.binary()), pa.array(n, pa.int64()), pa.array(s, pa.binary())], ["id", "v", "n", "signature"])
+                fp.append(signed(majority(h)) if prints and len(h) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(v, pa.binary()), pa.array(n, pa.int64()), pa.array(s, pa.binary()), pa.array(fp, pa.int64())], ["id", "v", "n", "signature", "fp"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, v binary, n long, signature binary")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, v binary, n long, signature binary, fp long")
 
 
 def regions(classes: DataFrame) -> DataFrame:
@@ -143,16 +139,33 @@ def sets_of(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
     return wanted.mapInArrow(run, "v binary, shingles binary").join(reps.select("v"), "v", "left_semi").groupBy("v").agg(F.first("shingles").alias("shingles"))
 
 
-def meetings(found: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the first orders: every set of a region with its hub, and in regions that weren't too dense with its neighbour by the label."""
+def meetings(found: DataFrame, neighbours: bool = True) -> DataFrame:
+    """Pairs (a, b) of the first orders: every set of a region with its hub and, if asked for, in regions that weren't too dense with its neighbour by the label."""
     first = found.filter(F.col("t") < FIRST)
     hubs = first.groupBy("g").agg(F.min_by(F.struct("v", "n"), F.xxhash64("v")).alias("hub"))
-    small = first.groupBy("g").agg(F.count("*").alias("size")).filter(F.col("size") <= REGION)
-    after = first.join(small, "g").withColumn("hub", F.lead(F.struct("v", "n")).over(Window.partitionBy("g").orderBy("label", "v")))
-    met = first.join(hubs, "g").select("v", "n", "hub").unionByName(after.select("v", "n", "hub").filter("hub is not null"))
+    met = first.join(hubs, "g").select("v", "n", "hub")
+    if neighbours:
+        small = first.groupBy("g").agg(F.count("*").alias("size")).filter(F.col("size") <= REGION)
+        after = first.join(small, "g").withColumn("hub", F.lead(F.struct("v", "n")).over(Window.partitionBy("g").orderBy("label", "v")))
+        met = met.unionByName(after.select("v", "n", "hub").filter("hub is not null"))
+    return pairs_of(met)
+
+
+def pairs_of(met: DataFrame) -> DataFrame:
+    """Pairs (a, b), each once, of sets (v, n) and the sets `hub` (v, n) that they meet, if the sizes allow a link."""
     return met.filter((F.col("v") != F.col("hub.v")) & alike(F.col("n"), F.col("hub.n"))).select(F.least("v", "hub.v").alias("a"), F.greatest("v", "hub.v").alias("b")).distinct()
 
 
+def fingerprint_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) by SimHash: every set with the one that stands for its fingerprint, and that with the least one that stands for a
+    fingerprint at most two bits away. So a set is in few pairs however many are near; what these leave apart the forest compares."""
+    prints = classes.select("v", "n", "fp")
+    stand = prints.groupBy("fp").agg(F.min(F.struct("v", "n")).alias("rep"))
+    same = prints.join(stand, "fp").select("v", "n", F.col("rep").alias("hub"))
+    near = fingerprint_links(stand).groupBy("a").agg(F.min("b").alias("hub")).select("a.v", "a.n", "hub")
+    return pairs_of(same.filter(F.col("v") != F.col("hub.v")).unionByName(near))
+
+
 def alike(n, m):
     """Whether sets of these sizes can have a Jaccard similarity of 0.8."""
     return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
@@ -260,14 +273,22 @@ def sorted_tiles(rows: DataFrame) -> DataFrame:
     return rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
 
 
-def classes_of(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+def classes_of(docs: DataFrame, width: int, prints: bool = False) -> tuple[DataFrame, DataFrame]:
     """(id, v, n) of every row of (id, text), and of every set v that isn't empty (v, rep, root): rep (none, id) is the least of its
-    rows by id, rows without one last, and root stands for its component."""
-    rows = store(described(docs, width))
-    classes = store(rows.filter("n > 0").groupBy("v").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature")))
+    rows by id, rows without one last, and root stands for its component.
+
+    With prints, sets meet by SimHash fingerprints first, in place of neighbours; the forest then finds what lies farther apart.
+    """
+    rows = store(described(docs, width, prints))
+    classes = store(rows.filter("n > 0").groupBy("v").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("fp").alias("fp")))
     found = regions(classes)
-    sets = store(sets_of(docs, store(classes.join(found.select("v").distinct(), "v", "left_semi").select("v", F.col("rep.id").alias("id"))), width))
-    links = store(verified(meetings(found), sets))
+    met, ends = meetings(found, neighbours=not prints), found.select("v")
+    if prints:
+        close = store(fingerprint_pairs(classes))
+        met = met.unionByName(close).distinct()
+        ends = ends.unionByName(close.select(F.explode(F.array("a", "b")).alias("v")))
+    sets = store(sets_of(docs, store(classes.join(ends.distinct(), "v", "left_semi").select("v", F.col("rep.id").alias("id"))), width))
+    links = store(verified(met, sets))
     roots = store(connected_components(links))
     tiles = sorted_tiles(open_tiles(found, classes, roots))
     links = links.unionByName(store(verified(tiles.mapInArrow(nearest, "a binary, b binary").distinct(), sets)))
@@ -279,7 +300,7 @@ def classes_of(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     more = store(sorted_tiles(asking).mapInArrow(confirmed, "a binary, b binary"))
     if not more.isEmpty():
         roots = connected_components(links.unionByName(more))
-    return rows.drop("signature"), classes.join(roots, "v", "left").select("v", "rep", F.coalesce("root", "v").alias("root"))
+    return rows.drop("signature", "fp"), classes.join(roots, "v", "left").select("v", "rep", F.coalesce("root", "v").alias("root"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:

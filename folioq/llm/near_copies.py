@@ -1,4 +1,8 @@
-"""The pipeline's near copies: five-word shingles of a Jaccard similarity of 0.8 or more, found by the forest of MinHash signatures."""
+"""The pipeline's near copies: five-word shingles of a Jaccard similarity of 0.8 or more.
+
+They are linked by SimHash fingerprints that differ in two bits or fewer, then by the forest of MinHash signatures, as similar sets may differ in
+more bits; links are confirmed on whole sets.
+"""
 
 from __future__ import annotations
 
@@ -18,7 +22,7 @@ WIDTH = 5
 def components(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(id, v) of every row, v being the digest of its shingles, and (v, best) of every v: best (none, id, v) is the least row of its
     component by id, rows without one last. Texts without words are one component."""
-    rows, named = classes_of(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), WIDTH)
+    rows, named = classes_of(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), WIDTH, prints=True)
     bare = rows.filter("n = 0").groupBy("v").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("rep")).withColumn("root", F.col("v"))
     all_named = named.unionByName(bare)
     best = all_named.groupBy("root").agg(F.min(F.struct("rep.none", "rep.id", "v")).alias("best"))

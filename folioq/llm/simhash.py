@@ -42,6 +42,12 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(sum(1 << int(i) for i in np.flatnonzero(2 * ones > n)))
 
 
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of a set of hashes: a bit is 1 if it is set in over half of them; an empty set gives 0."""
+    ones = sum((np.unpackbits(h[a : a + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for a in range(0, len(h), BLOCK)), np.zeros(BITS, np.int64))
+    return int(sum(1 << int(i) for i in np.flatnonzero(2 * ones > len(h))))
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 

@@ -4,7 +4,10 @@ import itertools
 import random
 
 import corpus_pipeline
-from folioq.llm.near_copies import near_copies
+from folioq.llm import bpe, forest, simhash
+from folioq.llm.near_copies import WIDTH, near_copies
+from folioq.llm.queries import vocabulary
+from pyspark.sql import functions as F
 
 
 def sets(text):
@@ -67,3 +70,42 @@ def test_rows_are_judged_apart(spark):
     df = spark.createDataFrame([(1, text, "a"), (2, text, "b"), (2, other, "c"), (None, other, "d"), (2, other, "e")], "doc_id long, text string, source string")
     kept = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
     assert kept == [(1, text), (2, other)]
+
+
+def test_stage_meets_by_fingerprints(spark, monkeypatch):
+    """Sets whose SimHash fingerprints differ in two bits or fewer are linked by these alone, without any region of the forest."""
+    rng = random.Random(9)
+    texts = []
+    for _ in range(30):
+        seed = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        texts += [" ".join(seed), " ".join(seed[:-1]), " ".join(seed[2:])]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    h = [forest.shingles(t, WIDTH) for t in texts]
+    fp = [simhash.majority(x) for x in h]
+    naive = [sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in s) > len(s)) for s in h[:6]]
+    assert fp[:6] == naive
+    rows = forest.described(df, WIDTH, True)
+    met = {frozenset((bytes(r.a), bytes(r.b))) for r in forest.fingerprint_pairs(rows).collect()}
+    near = {frozenset((forest.digest(h[i]), forest.digest(h[j]))) for i, j in itertools.combinations(range(len(texts)), 2) if (fp[i] ^ fp[j]).bit_count() <= 2}
+    assert met and met <= near | {frozenset((forest.digest(h[3 * k + i]), forest.digest(h[3 * k + j]))) for k in range(30) for i, j in ((0, 1), (0, 2), (1, 2))}
+    assert {max(pair) for pair in near} <= {x for pair in met for x in pair}
+    # no regions at all: what is linked comes from the fingerprints
+    monkeypatch.setattr(forest, "meetings", lambda found, neighbours=True: found.select(F.col("v").alias("a"), F.col("v").alias("b")).limit(0))
+    monkeypatch.setattr(forest, "open_tiles", lambda found, classes, roots, plain=forest.open_tiles: plain(found.limit(0), classes, roots))
+    component = {r.doc_id: r.component_id for r in near_copies(df.withColumnRenamed("id", "doc_id")).collect()}
+    assert any(fp[i] ^ fp[j] and component[i] == component[j] for i in range(90) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 2)
+
+
+def test_encoder_leaves_no_cache(spark):
+    """A worker that encoded texts keeps none of their pre-tokens."""
+    df = spark.createDataFrame([(1, "some words of a text")], "doc_id long, text string")
+
+    def left(batches):
+        import pandas as pd
+
+        for frame in batches:
+            yield pd.DataFrame({"n": [sum(len(b.cache) for b in bpe._LOADED.values())] * len(frame)})
+
+    for _ in range(3):
+        assert bpe.encode_texts(df, vocabulary()).count() == 1
+    assert spark.range(8).repartition(8).mapInPandas(left, "n long").agg(F.max("n")).first()[0] == 0
