@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioq.llm.common import fresh
+from folioq.llm.common import fresh, store
 
 #: Common first names by gender, and surnames.
 MALE = "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Paul Mark George Peter Hans Karl Klaus Jürgen Wolfgang Stefan Jean Pierre Michel André Philippe Louis José Juan Carlos Luis Miguel Javier Pablo Иван Сергей Дмитрий Алексей".split()
@@ -306,10 +306,12 @@ def entity_map(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """(kind, entity, surrogate, n, shared, real) of every distinct entity: the collision checks over a whole corpus.
 
     shared: another identity of the kind has the same surrogate, which must hold nowhere. real: the surrogate is itself an
-    identity of the corpus. Null texts have no entities.
+    identity of the corpus. Null texts have no entities. The texts are read and the surrogates made once, then stored.
     """
     found = docs.filter(F.col(text_col).rlike(QUICK)).select(F.explode(entities(F.col(text_col))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n"))
-    known = found.select(kind_of(F.col("entity")).alias("kind"), "entity", surrogate(F.col("entity"), key).alias("surrogate"), "n").withColumn("_was", identity(F.col("entity"), F.col("kind"))).withColumn("_is", identity(F.col("surrogate"), F.col("kind")))
+    known = store(found.select(kind_of(F.col("entity")).alias("kind"), "entity", surrogate(F.col("entity"), key).alias("surrogate"), "n"))
+    known = known.withColumn("_was", identity(F.col("entity"), F.col("kind"))).withColumn("_is", identity(F.col("surrogate"), F.col("kind")))
+    known = store(known)
     taken = known.groupBy("kind", "_is").agg((F.min("_was") != F.max("_was")).alias("shared"))
     own = known.select("kind", F.col("_was").alias("_is"), F.lit(True).alias("real")).distinct()
     return known.join(taken, ["kind", "_is"]).join(own, ["kind", "_is"], "left").select("kind", "entity", "surrogate", "n", "shared", F.coalesce("real", F.lit(False)).alias("real"))

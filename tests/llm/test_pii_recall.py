@@ -42,3 +42,12 @@ def test_addresses_of_version_6_keep_who_they_are(spark):
     rows = [(f"2001:db8:{i % 50:x}::{i:x} x",) for i in range(1, 2000)]
     found = pii.entity_map(spark.createDataFrame(rows, "text string"), "k")
     assert found.filter("kind = 'ipv6'").count() == 1999 and found.filter("shared").count() == 0
+
+
+def test_entities_are_found_once(spark):
+    """The checks over the corpus read what was stored: neither patterns nor surrogates are in their plan again."""
+    df = spark.createDataFrame([(1, "write to jo.d@mail.example.org or ann@mail.example.org"), (2, "jo.d@mail.example.org"), (3, None)], "doc_id long, text string")
+    found = pii.entity_map(df, "k")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "sha2" not in plan
+    assert sorted((r.kind, r.entity, r.n, r.shared) for r in found.collect()) == [("email", "ann@mail.example.org", 1, False), ("email", "jo.d@mail.example.org", 2, False)]
