@@ -269,6 +269,11 @@ def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*links, strict=True)], ["a", "b"])
 
 
+def spokes(roots: DataFrame) -> DataFrame:
+    """Links (a, b) between the sets of (v, root) and their roots, which connect what is connected already."""
+    return roots.filter("v <> root").select(F.col("v").alias("a"), F.col("root").alias("b"))
+
+
 def sorted_tiles(rows: DataFrame) -> DataFrame:
     return rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
 
@@ -291,15 +296,16 @@ def classes_of(docs: DataFrame, width: int, prints: bool = False) -> tuple[DataF
     links = store(verified(met, sets))
     roots = store(connected_components(links))
     tiles = sorted_tiles(open_tiles(found, classes, roots))
-    links = links.unionByName(store(verified(tiles.mapInArrow(nearest, "a binary, b binary").distinct(), sets)))
-    roots = store(connected_components(links))
+    # known components go on as one link from each set to its root, however many links made them
+    links = store(verified(tiles.mapInArrow(nearest, "a binary, b binary").distinct(), sets))
+    roots = store(connected_components(links.unionByName(spokes(roots))))
     # what is still apart is compared in full, by the sets themselves; only links leave the tasks
     tiles = store(open_tiles(found, classes, roots))
     partners = sorted_tiles(tiles).mapInArrow(flagged, "g long, i int, j int, asks boolean, v binary")
     asking = tiles.join(partners, ["g", "i", "j", "asks", "v"]).join(sets, "v").select(*tiles.columns, "shingles")
     more = store(sorted_tiles(asking).mapInArrow(confirmed, "a binary, b binary"))
     if not more.isEmpty():
-        roots = connected_components(links.unionByName(more))
+        roots = connected_components(more.unionByName(spokes(roots)))
     return rows.drop("signature", "fp"), classes.join(roots, "v", "left").select("v", "rep", F.coalesce("root", "v").alias("root"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +39,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.join(known, "v").select(F.col("id").alias(id_col), F.col("best.id").alias("component_id"))
 
 
+def row_key(v: Column, id_text: Column) -> Column:
+    """The digest of a row's shingles, of 16 bytes, with its id behind; a null id leaves nothing behind, any other a mark and its text."""
+    return F.concat(v, F.coalesce(F.concat(F.lit("="), id_text), F.lit("")).cast("binary"))
+
+
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component of near copies, all columns kept: that with the smallest id, rows without one last.
 
@@ -46,17 +51,19 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     one with the least hash over its columns stays, whatever the partitions. Columns may have any name.
     """
     _, known = components(docs, id_col, text_col)
-    best = known.select("best.v", F.col("best.id").alias("id")).distinct()
     names, at = docs.columns, docs.columns.index(text_col)
     mark = fresh("v", names)
+    own, whose = fresh("key", [*names, mark]), F.col(f"`{id_col}`").cast("string")
+    best = known.select(row_key(F.col("best.v"), F.col("best.id").cast("string")).alias(own)).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = pa.array([digest(shingles(t.as_py(), WIDTH)) for t in batch.column(at)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, own], [*names, mark])
+            sets = pa.array([digest(shingles(t.as_py(), WIDTH)) for t in batch.column(at)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, sets], [*names, mark])
 
-    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(mark, T.BinaryType())]))
-    kept = marked.join(best, (marked[mark] == best["v"]) & marked[id_col].eqNullSafe(best["id"]), "left_semi")
+    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(mark, T.BinaryType())])).withColumn(own, row_key(F.col(mark), whose)).drop(mark)
+    # one key for join and grouping, and a merge join, so that the texts are shuffled once
+    kept = marked.join(best.hint("merge"), own, "left_semi")
     plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, T.MapType | T.VariantType)]
-    one = kept.groupBy(mark, id_col).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in names]), F.xxhash64(*plain)).alias("row"))
+    one = kept.groupBy(own).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in names]), F.xxhash64(*plain)).alias("row"))
     return one.select("row.*")

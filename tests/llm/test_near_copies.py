@@ -5,7 +5,7 @@ import random
 
 import corpus_pipeline
 from folioq.llm import bpe, forest, simhash
-from folioq.llm.near_copies import WIDTH, near_copies
+from folioq.llm.near_copies import WIDTH, keep_representatives, near_copies
 from folioq.llm.queries import vocabulary
 from pyspark.sql import functions as F
 
@@ -109,3 +109,28 @@ def test_encoder_leaves_no_cache(spark):
     for _ in range(3):
         assert bpe.encode_texts(df, vocabulary()).count() == 1
     assert spark.range(8).repartition(8).mapInPandas(left, "n long").agg(F.max("n")).first()[0] == 0
+
+
+def test_texts_are_shuffled_once(spark):
+    docs = spark.createDataFrame([(i, f"alpha beta gamma delta epsilon {i % 3} zeta eta theta") for i in range(12)], "doc_id long, text string")
+    kept = keep_representatives(docs)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    above, _, below = plan.partition("LeftSemi")
+    assert below and "Exchange" not in above, plan
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2]
+
+
+def test_known_components_go_on_as_one_link_a_set(spark, monkeypatch):
+    counts = []
+    plain = forest.connected_components
+
+    def counting(links):
+        counts.append(links.count())
+        return plain(links)
+
+    monkeypatch.setattr(forest, "connected_components", counting)
+    words = [f"word{i}" for i in range(200)]
+    texts = [" ".join([*words[:k], f"other{k}", *words[k + 1 :]]) for k in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert keep_representatives(docs).count() == 1
+    assert len(counts) >= 2 and counts[1] < counts[0], counts
