@@ -39,8 +39,10 @@ def answers(sketches: DataFrame, quantiles: dict[str, float] | None = None) -> D
     """Sketches read out: valid share, mean score, owners and quantiles of scores (null where nothing has a score); counts stay."""
     quantiles = {"median_score": 0.5} if quantiles is None else quantiles
     read = {name: F.when(F.col("n_scored") > 0, F.kll_sketch_get_quantile_double("scores", F.lit(q))) for name, q in quantiles.items()}
-    mean = F.round(F.try_divide(F.col("total_score").cast("double"), F.col("n_scored").cast("double")), 4)
-    counted = {"valid_share": F.round(F.col("n_valid") / F.col("n_docs"), 4), "mean_score": mean, "n_owners": F.hll_sketch_estimate("owners")}
+    # the double itself decides at four decimals: 0.50245 lies below its half, while round(x, 4) takes its shortest decimal and goes up
+    nearest = lambda x: F.round(x * 10000) / 10000
+    mean = nearest(F.try_divide(F.col("total_score").cast("double"), F.col("n_scored").cast("double")))
+    counted = {"valid_share": nearest(F.col("n_valid") / F.col("n_docs")), "mean_score": mean, "n_owners": F.hll_sketch_estimate("owners")}
     return sketches.withColumns({**counted, **read}).drop("owners", "scores", "total_score")
 
 

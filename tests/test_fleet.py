@@ -42,3 +42,8 @@ def test_odd_reports(spark):
     assert got == {("a", None): (2, 1, 0.5, 1, 0.5), ("b", DAY): (2, 0, None, 0, None)}
     none = fleet.daily_sketches(df.limit(0), F.col("day"), [], "owner")
     assert fleet.roll_up(fleet.daily_sketches(df.limit(0), F.col("day"), ["is_valid"], "owner"), ["is_valid"]).count() == 0 and none.count() == 0
+
+
+def test_means_are_rounded_by_their_double(spark):
+    df = spark.createDataFrame([("a", DAY, "x", 0.5024, True), ("a", DAY, "y", 0.5025, True)], "kind string, day date, owner string, score double, is_valid boolean")
+    assert fleet.answers(fleet.daily_sketches(df, F.col("day"), ["kind"], "owner")).first().mean_score == 0.5024  # round(0.50245, 4) in SQL
