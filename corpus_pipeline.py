@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioq.llm.bpe import encode_texts
-from folioq.llm.common import store, table
+from folioq.llm.common import small_batches, store, table
 from folioq.llm.decontaminate import decontaminate
 from folioq.llm.near_copies import keep_representatives
 from folioq.llm.pii import with_surrogates
@@ -20,11 +20,13 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
+    small_batches(spark)
     return reject_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near-duplicates: five-word shingles, Jaccard 0.8 or more, by SimHash and beyond its radius by a MinHash forest."""
+    small_batches(spark)
     return keep_representatives(docs)
 
 
@@ -35,6 +37,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages; those that mostly consist of them go."""
+    small_batches(spark)
     return measured(decontaminate(docs, table(spark, sf_dir, "benchmark")))
 
 
@@ -45,6 +48,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document; the text is what they decode to."""
+    small_batches(spark)
     return measured(encode_texts(docs, vocabulary(), round_trip=True))
 
 

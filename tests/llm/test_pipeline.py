@@ -3,8 +3,10 @@
 import random
 
 import corpus_pipeline
+import pyarrow as pa
 from tokenizers import Tokenizer
 
+from folioq.llm.common import ARROW_ROWS, ARROW_SETTING, small_batches
 from folioq.llm.queries import vocabulary
 
 
@@ -47,3 +49,23 @@ def test_chain_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    """A stage's result, planned only when it is read, takes few rows at a time out of a partition of many; a smaller setting of the session stays."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    before = spark.conf.get(ARROW_SETTING)
+    try:
+        spark.conf.unset(ARROW_SETTING)
+        docs = spark.range(3 * ARROW_ROWS, numPartitions=1).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+        got = [r.n for r in corpus_pipeline.bpe(spark, docs, "").select("doc_id").mapInArrow(sizes, "n long").collect()]
+        assert sum(got) == 3 * ARROW_ROWS and max(got) <= ARROW_ROWS
+        spark.conf.set(ARROW_SETTING, "7")
+        small_batches(spark)
+        assert spark.conf.get(ARROW_SETTING) == "7"
+    finally:
+        spark.conf.set(ARROW_SETTING, before)
