@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from folioq.functions import json as J
 from folioq.functions import text as T
 from folioq.functions import values as V
-from folioq.operators import catalogue, chunks, derive, exports, files, normalise, scoring, tables, validation
+from folioq.operators import catalogue, chunks, derive, exports, files, normalise, scoring, tables, truth, validation
 from folioq.registry import REQUIRED, SCHEMAS, ddl, leaves, register_schema
 from folioq.sources import envelopes
 from folioq.streaming import rates
@@ -91,6 +91,16 @@ def test_audit(spark):
     assert (round(s.a, 3), round(s.b, 3)) == (0.843, 0.528)
 
 
+def test_line_math_at_the_bound(spark):
+    """25 x 1181.14 is 29528.500000000004 in doubles; the total is 2 % less to the cent, so it passes both as check and as truth test."""
+    rows = [(1, 28937.93, 0.0, 28937.93, [(25.0, 1181.14, 28937.93)]), (2, 28937.92, 0.0, 28937.92, [(25.0, 1181.14, 28937.92)])]
+    got = {r.doc_id: r for r in validation.validate_invoices(spark.createDataFrame(rows, INVOICE)).collect()}
+    assert {i: (r.truth_tests[0].passed, r.n_errors, r.n_warnings) for i, r in got.items()} == {1: (True, 0, 0), 2: (False, 1, 1)}
+    data = {"subtotal": 28937.93, "tax": 0, "total": 28937.93, "line_items": [{"quantity": 25, "price": 1181.14, "total": 28937.93}]}
+    tests = record(spark, "invoice", data).select(truth.truth_rules(F.col("document_type"), F.col("record"), F.current_date()).alias("t")).first().t
+    assert [t.passed for t in tests if t.test_name == "line_math"] == [True]
+
+
 def test_statement_balances(spark):
     rows = [(10.0, 15.0, [(None, 10.0, 20.0), (5.0, None, 15.0)]), (10.0, 16.0, [(None, 10.0, 21.0)]), (None, None, [])]
     df = spark.createDataFrame(rows, "opening double, closing double, transactions array<struct<debit: double, credit: double, balance: double>>")
