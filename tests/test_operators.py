@@ -56,6 +56,17 @@ def test_texts(spark):
     assert [(i.kind, i.value) for i in found[0]] == [("pan", "ABCDE1234F"), ("email", "x@y.org"), ("date", "2024-01-02")] and found[1:] == [[], []]
 
 
+def test_language_is_told_in_one_reading(spark):
+    """However often a code is asked for, the text is looked through once for each script."""
+    texts = [None, "", "12 34", "a" * 85 + "क" * 15, "a" * 86 + "क" * 14, "ક" * 15 + "a" * 85, "कક" * 9 + "a" * 82, "ક" * 20 + "क" * 19, "[a]^_ é 漢 😀क"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("name", T.language_name(T.detect_script(F.col("t"))))
+    want = ["English", "English", "English", "Hindi", "English", "Gujarati", "English", "Gujarati", "Hindi"]
+    assert [r.name for r in df.orderBy("i").collect()] == want
+    assert spark.createDataFrame([("tam",)], "c string").select(T.language_name(F.col("c"))).first()[0] == "tam"
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("regexp_") <= 3, plan.count("regexp_")
+
+
 def test_chunks_reassemble(spark):
     text = "".join(chr(97 + i % 26) for i in range(20_123))
     parts = each(spark, [text], T.chunk_text)[0]
