@@ -13,6 +13,16 @@ K_SCORES = 200
 OWNER_BOUND, RANK_BOUND = 4 * 1.04 / 2 ** (LG_OWNERS / 2), 0.05
 
 
+def nearest(x: Column) -> Column:
+    """At four decimals as the double itself decides: 0.50245 lies below its half, while round(x, 4) takes its shortest decimal and goes up."""
+    return F.round(x * 10000) / 10000
+
+
+def mean_score(score: Column) -> Column:
+    """Mean of scores at four decimals, from their exact sum, so that neither order nor partitions decide; null without any."""
+    return nearest(F.try_divide(F.sum(score.cast("decimal(18,8)")).cast("double"), F.count(score).cast("double")))
+
+
 def daily_sketches(reports: DataFrame, day: Column, by: list[str], owner: str, score: str = "score", valid: str = "is_valid") -> DataFrame:
     """(by..., day, n_docs, n_valid, n_scored, total_score, owners, scores): one row per group and day of audit reports.
 
@@ -39,8 +49,6 @@ def answers(sketches: DataFrame, quantiles: dict[str, float] | None = None) -> D
     """Sketches read out: valid share, mean score, owners and quantiles of scores (null where nothing has a score); counts stay."""
     quantiles = {"median_score": 0.5} if quantiles is None else quantiles
     read = {name: F.when(F.col("n_scored") > 0, F.kll_sketch_get_quantile_double("scores", F.lit(q))) for name, q in quantiles.items()}
-    # the double itself decides at four decimals: 0.50245 lies below its half, while round(x, 4) takes its shortest decimal and goes up
-    nearest = lambda x: F.round(x * 10000) / 10000
     mean = nearest(F.try_divide(F.col("total_score").cast("double"), F.col("n_scored").cast("double")))
     counted = {"valid_share": nearest(F.col("n_valid") / F.col("n_docs")), "mean_score": mean, "n_owners": F.hll_sketch_estimate("owners")}
     return sketches.withColumns({**counted, **read}).drop("owners", "scores", "total_score")

@@ -47,3 +47,13 @@ def test_odd_reports(spark):
 def test_means_are_rounded_by_their_double(spark):
     df = spark.createDataFrame([("a", DAY, "x", 0.5024, True), ("a", DAY, "y", 0.5025, True)], "kind string, day date, owner string, score double, is_valid boolean")
     assert fleet.answers(fleet.daily_sketches(df, F.col("day"), ["kind"], "owner")).first().mean_score == 0.5024  # round(0.50245, 4) in SQL
+
+
+def test_means_at_a_half_go_as_in_sql(spark):
+    import duckdb
+
+    pairs = [(0.0567, 0.1178), (0.0567, 0.25), (0.0567, 0.356), (0.0567, 0.4336), (0.0567, 0.4426)]
+    df = spark.createDataFrame([(i, x) for i, pair in enumerate(pairs) for x in pair] + [(9, None)], "i int, score double")
+    got = {r.i: r.m for r in df.groupBy("i").agg(fleet.mean_score(F.col("score")).alias("m")).collect()}
+    want = [duckdb.sql(f"SELECT round(avg(x), 4) FROM (VALUES (CAST({a} AS DOUBLE)), ({b})) t(x)").fetchall()[0][0] for a, b in pairs]
+    assert got == {**dict(enumerate(want)), 9: None}  # round(avg(score), 4) in Spark gives 0.0873 for the first
